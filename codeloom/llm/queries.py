@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
-from .common import documents
+from . import bpe, langid, simhash, winnowing
+from .common import documents, held_out
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -28,5 +28,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path(), keep_ids=False)
 
 
-QUERIES = {"op8_simhash": op8_simhash, "op9_bpe": op9_bpe}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing entropy."""
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.train(docs), ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every document and of its edited text."""
+    return winnowing.edit_report(documents(spark, sf_dir))
+
+
+QUERIES = {"op5_language": op5_language, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_winnowing": op10_winnowing}
 ORACLE_SQL: dict[str, str] = {}
