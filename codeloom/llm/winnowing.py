@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 12, 8
+K, W = 8, 8
 #: Windows in a block.
 BLOCK = 2048
 TOP = 0x7FFFFFFF
