@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, winnowing
+from . import bpe, langid, mixing, simhash, toxicity, winnowing
 from .common import documents, held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents to the sources' target weights."""
+    return mixing.report(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; three words, two bits."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
@@ -28,6 +33,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path(), keep_ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the gated recurrent network."""
+    docs = documents(spark, sf_dir)
+    net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score(docs, net, ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by cross-parsing entropy."""
     docs = documents(spark, sf_dir)
@@ -40,5 +53,5 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edit_report(documents(spark, sf_dir))
 
 
-QUERIES = {"op5_language": op5_language, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_winnowing": op10_winnowing}
+QUERIES = {"op2_toxicity": op2_toxicity, "op5_language": op5_language, "op6_mixing": op6_mixing, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_winnowing": op10_winnowing}
 ORACLE_SQL: dict[str, str] = {}
