@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, simhash, toxicity, winnowing
+from . import bpe, langid, licenses, media, mixing, simhash, tokencount, toxicity, winnowing
 from .common import documents, held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every whole document, and those that its lines name."""
+    return licenses.scan(documents(spark, sf_dir)).withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; three words, two bits."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
@@ -41,6 +46,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as media, read back and described."""
+    return media.media_columns(documents(spark, sf_dir))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of every document."""
+    return tokencount.section_counts(documents(spark, sf_dir), tokenizer_path())
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by cross-parsing entropy."""
     docs = documents(spark, sf_dir)
@@ -53,5 +68,15 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edit_report(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op5_language": op5_language, "op6_mixing": op6_mixing, "op8_simhash": op8_simhash, "op9_bpe": op9_bpe, "op10_winnowing": op10_winnowing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_media": op3_media,
+    "op4_token_counts": op4_token_counts,
+    "op5_language": op5_language,
+    "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
+    "op8_simhash": op8_simhash,
+    "op9_bpe": op9_bpe,
+    "op10_winnowing": op10_winnowing,
+}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
