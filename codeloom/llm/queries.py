@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, media, mixing, simhash, tokencount, toxicity, winnowing
+from . import bpe, langid, licenses, linededup, media, mixing, simhash, tokencount, toxicity, winnowing
 from .common import documents, held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path(), keep_ids=False)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the blocks that it shares with an earlier one."""
+    found = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("cut").cast("long").alias("n_cut"), "cut", "blank", "text")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the gated recurrent network."""
     docs = documents(spark, sf_dir)
@@ -69,6 +75,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_media": op3_media,
     "op4_token_counts": op4_token_counts,
