@@ -1,16 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text is reduced to its lower-cased letters and digits (UTF-8). Each run of ``k``
-bytes is hashed; of every ``w`` neighbouring hashes the smallest is chosen, the
-rightmost of equals, and kept with its position. Two texts that share a run of at
-least ``k + w - 1`` such bytes therefore share a chosen hash. A choice is one long:
+A text is reduced to its lower-cased letters and digits. Each run of ``k`` characters has
+a rolling hash; of every ``w`` neighbouring hashes the smallest is chosen, the rightmost
+of equals, and kept with its position. Two texts that share a run of at least
+``k + w - 1`` kept characters therefore share a chosen hash. A choice is one long:
 31 bits of hash above 31 bits of falling position, so that one integer minimum picks
 both. Windows are worked off in blocks inside the row, which bounds what a long text
 needs besides its own bytes and choices.
 
-Defined cases: null text is the empty text; texts of fewer than ``k`` kept bytes have
+Defined cases: null text is the empty text; texts of fewer than ``k`` kept characters have
 one hash of all they have, and fewer hashes than ``w`` make one window; two texts
-without any kept byte are alike (1.0); equal texts have equal fingerprints; rows with
+without any kept character are alike (1.0); equal texts have equal fingerprints; rows with
 equal ids follow each other in text order; null ids come first; the next document of a
 lone row is itself; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,40 +31,67 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def kept_bytes(text: Column) -> Column:
-    return F.encode(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", ""), "UTF-8")
+def kept_text(text: Column) -> Column:
+    """Lower-cased letters and digits; the one letter whose lower case depends on its neighbours is folded first,
+    so that the kept text of two joined texts is that of the first and that of the second."""
+    folded = F.translate(F.coalesce(text, F.lit("")), "\u03a3\u03c2", "\u03c3\u03c3")
+    return F.regexp_replace(F.lower(folded), r"[^\p{L}\p{N}]+", "")
 
 
-def _min_of_windows(grams: Column, w: int) -> Column:
+def _with_later(values: Column, step: int, merge) -> Column:
+    """Each entry merged with the one ``step`` places on, which is null past the end."""
+    return let(values, lambda g: F.zip_with(g, F.slice(g, F.lit(1 + step), F.size(g)), merge))
+
+
+def _turned(step: int):
+    return lambda x, y: F.shiftleft(x, step).bitwiseOR(F.shiftrightunsigned(x, 64 - step)).bitwiseXOR(y)
+
+
+def rolling_hashes(chars: Column, k: int) -> Column:
+    """Cyclic polynomial hash of ``k`` characters from every character on; null where fewer are left.
+
+    The hash of twice as many is that of the first half, turned by its length, xor that of the second.
+    """
+    out, reach = F.transform(chars, lambda c: F.xxhash64(c)), 1
+    while reach < k:
+        out = _with_later(out, reach, _turned(reach))
+        reach *= 2
+    return out
+
+
+def _min_of_windows(cells: Column, w: int) -> Column:
     """Smallest of each ``w`` entries from every entry on, by doubling the reach."""
-    reach, out = 1, grams
+    out, reach = cells, 1
     while reach < w:
         step = min(reach, w - reach)
-        out = let(out, lambda g: F.transform(g, _least_with(g, step)))
+        out = _with_later(out, step, lambda x, y: F.least(x, y))
         reach += step
     return out
 
 
-def _least_with(g: Column, step: int):
-    return lambda x, j: F.least(x, F.get(g, j + F.lit(step)))
-
-
 def choices(kept: Column, k: int = K, w: int = W, first: Column | None = None) -> Column:
     """Choices of all windows from window ``first`` on, in order and without repeats."""
+    if k & (k - 1):
+        raise ValueError("k must be a power of two")
     first = F.lit(0) if first is None else first
-    grams = F.greatest(F.octet_length(kept) - F.lit(k - 1), F.lit(1))
-    windows = F.greatest(grams - F.lit(w - 1), F.lit(1))
+    n = F.char_length(kept)
+
+    def chosen(chars: Column) -> Column:
+        grams = F.greatest(n - F.lit(k - 1), F.lit(1))
+        windows = F.greatest(grams - F.lit(w - 1), F.lit(1))
+
+        def block(start: Column) -> Column:
+            count = F.least(F.lit(BLOCK), windows - start)
+            part = F.slice(chars, start + F.lit(1), count + F.lit(w + k - 2))
+            hashed = F.slice(rolling_hashes(part, k), F.lit(1), F.least(count + F.lit(w - 1), grams - start))
+            hashed = F.when(n < k, F.array(F.xxhash64(kept))).otherwise(hashed)
+            cells = F.transform(hashed, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32).bitwiseOR((F.lit(TOP) - start - i).cast("long")))
+            return F.array_distinct(F.slice(_min_of_windows(cells, w), F.lit(1), count))
 
-    def block(start: Column) -> Column:
-        stop = F.least(start + F.lit(BLOCK), windows)
-        cells = F.transform(
-            F.sequence(start, F.least(stop + F.lit(w - 1), grams) - F.lit(1)),
-            lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(kept, i + F.lit(1), F.lit(k))), 33), 32).bitwiseOR((F.lit(TOP) - i).cast("long")),
-        )
-        return F.array_distinct(F.slice(_min_of_windows(cells, w), F.lit(1), stop - start))
+        starts = F.when(first < windows, F.sequence(first, F.greatest(windows - F.lit(1), first), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.flatten(F.transform(starts, block)))
 
-    starts = F.when(first < windows, F.sequence(first, F.greatest(windows - F.lit(1), first), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(starts, block)))
+    return let(F.split(kept, ""), chosen)
 
 
 def hash_of(choice: Column) -> Column:
@@ -91,9 +118,9 @@ def digest(chosen: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """``id_col`` and choices: array<struct<hash int, position int>> of each row, positions in kept bytes."""
+    """``id_col`` and choices: array<struct<hash int, position int>> of each row, positions in kept characters."""
     chosen = choices(F.col("kept"), k, w)
-    return docs.select(F.col(id_col), kept_bytes(F.col(text_col)).alias("kept")).select(
+    return docs.select(F.col(id_col), kept_text(F.col(text_col)).alias("kept")).select(
         id_col, F.transform(chosen, lambda c: F.struct(hash_of(c).alias("hash"), position_of(c).alias("position"))).alias("choices")
     )
 
@@ -131,24 +158,24 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Fingerprints of each text and of its edited text, with their likeness and that to the next document.
 
     The edited text ends in the start of the next one: its last quarter of code points is
-    replaced by as many of the next document's first. Windows that lie wholly in bytes
+    replaced by as many of the next document's first. Windows that lie wholly in characters
     that both texts begin with are not hashed again.
     """
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def prepare(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("kept", kept_bytes(F.col("t")))
-        return rows.withColumn("chosen", choices(F.col("kept"), k, w)).withColumn("set", hashes(F.col("chosen")))
+        n = F.char_length("t")
+        rows = rows.withColumn("n", n).withColumn("cut", F.floor(n / 4).cast("int"))
+        rows = rows.withColumn("head", F.substring("t", F.lit(1), F.col("n") - F.col("cut"))).withColumn("hkept", kept_text(F.col("head")))
+        kept = F.concat("hkept", kept_text(F.substring("t", F.col("n") - F.col("cut") + 1, F.col("cut"))))
+        rows = rows.withColumn("chosen", let(kept, lambda x: choices(x, k, w)))
+        return rows.withColumn("set", hashes(F.col("chosen")))
 
     rows = with_next(texts, id_col, prepare, ["t", "set"])
-    n = F.char_length("t")
-    cut = F.floor(n / 4).cast("int")
-    rows = rows.withColumn("n", n).withColumn("head", F.substring("t", F.lit(1), n - cut))
-    rows = rows.withColumn("edited", F.concat("head", F.substring("nxt.t", F.lit(1), cut)))
-    rows = rows.withColumn("ekept", kept_bytes(F.col("edited"))).withColumn("hkept", kept_bytes(F.col("head")))
-    same = F.when(F.startswith("ekept", "hkept") & F.startswith("kept", "hkept"), F.octet_length("hkept")).otherwise(F.lit(0))
-    # the first `early` windows lie in shared bytes: what they choose lies before `early` or is chosen again from `again` on
-    rows = rows.withColumn("early", F.greatest(same - F.lit(k + w - 2), F.lit(0)).cast("int"))
+    rows = rows.withColumn("piece", F.substring("nxt.t", F.lit(1), F.col("cut")))
+    rows = rows.withColumn("edited", F.concat("head", "piece")).withColumn("ekept", F.concat("hkept", kept_text(F.col("piece"))))
+    # the first `early` windows lie in shared characters: what they choose lies before `early` or is chosen again from `again` on
+    rows = rows.withColumn("early", F.greatest(F.char_length("hkept") - F.lit(k + w - 2), F.lit(0)).cast("int"))
     again = choices(F.col("ekept"), k, w, F.greatest(F.col("early") - F.lit(w - 1), F.lit(0)))
     known = F.filter("chosen", lambda c: position_of(c) < F.col("early"))
     rows = rows.select(id_col, "n", "edited", "chosen", "set", F.col("nxt.set").alias("next_set"), F.array_distinct(F.concat(known, again)).alias("echosen"))
