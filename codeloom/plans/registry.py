@@ -1,40 +1,6 @@
-"""The named queries over the driver's tables, each with its DuckDB equivalent."""
+"""All named queries of the library."""
 
-from __future__ import annotations
+from codeloom.plans import code_queries, graph_queries, symbol_queries, text_queries  # noqa: F401
+from codeloom.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can say it, its oracle."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "top_fanout",
-    """SELECT s_suppkey AS id, s_name AS name, CAST(count(DISTINCT l_partkey) AS BIGINT) AS fan_out
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name
-    ORDER BY fan_out DESC, id LIMIT 20""",
-)
-def top_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    fan = edges.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("fan_out"))
-    top = fan.orderBy(F.desc("fan_out"), "l_suppkey").limit(20)
-    return top.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_suppkey").alias("id"), F.col("s_name").alias("name"), "fan_out")
+__all__ = ["ORACLE_SQL", "QUERIES"]
