@@ -16,7 +16,7 @@ MARKS = {
 OTHER = r"(?m)^\s*(//+|#+|--+|;+)\s?"
 #: Patterns of a parameter by format: name group, description group.
 PARAMETERS = {
-    "jsdoc": (r"@param\s+(?:\{[^}]*\}\s+)?\[?(\w+)[^\s]*\s*-?[^\S\n]*([^\n]*)", 1, 2),
+    "jsdoc": (r"@param\s+(?:\{[^}]*\}\s+)?\[?(\w+)[^\s]*[^\S\n]*-?[^\S\n]*([^\n]*)", 1, 2),
     "javadoc": (r"@param\s+(\w+)[^\S\n]*([^\n]*)", 1, 2),
     "python": (r"(?::param\s+(?:\w+\s+)?|^\s+)(\w+)\s*(?:\([^)]*\))?:[^\S\n]*([^\n]*)", 1, 2),
     "rust": (r"[*-]\s+`(\w+)`\s*-?[^\S\n]*([^\n]*)", 1, 2),
