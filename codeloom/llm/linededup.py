@@ -143,6 +143,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("h")]
 
 
+# Joins are sort-merge joins at every size: tables of lines grow with the rows and are never broadcast.
+
+
 def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, cut array<int>): numbers of the lines that each document loses."""
     lines = materialize(line_table(docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("t")).where("t is not null")), "lines")
@@ -151,10 +154,10 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
     seeds = lines.select("id", "h", F.explode(F.concat(single, couple)).alias("s")).select("id", "h", "s.seed", "s.w")
     held = seeds.groupBy("seed").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
     held = held.where(f"(first < last or h0 < h1) and (n <= {RARE} or w >= {min_words})").select("seed", "first", (F.col("first") == F.col("last")).alias("tied"))
-    pairs = seeds.select("seed", "id", "h").join(held, "seed").where("first < id or tied").select("first", "id", "h").distinct()
+    pairs = seeds.select("seed", "id", "h").join(held.hint("merge"), "seed").where("first < id or tied").select("first", "id", "h").distinct()
     a = lines.select(F.col("id").alias("first"), F.col("h").alias("first_h"), F.col("hashes").alias("a"))
     b = lines.select("id", "h", F.col("hashes").alias("b"), "words", "places")
-    both = pairs.join(b, ["id", "h"]).join(a, "first").where("first < id or (first = id and first_h < h)")
+    both = pairs.join(b.hint("merge"), ["id", "h"]).join(a.hint("merge"), "first").where("first < id or (first = id and first_h < h)")
 
     def align(batches):
         for batch in batches:
@@ -177,7 +180,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     gone = materialize(cuts(docs, id_col, text_col, min_words), "cuts")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain, at = docs.toDF(*names), dict(zip(docs.columns, names))
-    rows = plain.select("*", *_keyed(plain, at[id_col], at[text_col])).join(gone, ["id", "h"], "left").select(*names, "cut")
+    rows = plain.select("*", *_keyed(plain, at[id_col], at[text_col])).join(gone.hint("merge"), ["id", "h"], "left").select(*names, "cut")
     where = names.index(at[text_col])
 
     def shorten(batches):
