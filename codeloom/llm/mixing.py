@@ -130,6 +130,12 @@ def order_key(id_: Column, size: Column, large_from: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), id_.cast("string")), 3).bitwiseOR(F.when(size >= large_from, F.lit(0)).otherwise(F.lit(1 << 61)))
 
 
+def _crossing(sums: DataFrame, place: str, base: Column) -> DataFrame:
+    """Of each pattern the place in which the running size passes ``rest``, with the size before it."""
+    upto = base + F.sum("size").over(Window.partitionBy("members").orderBy(place))
+    return sums.withColumn("upto", upto).where("upto >= rest and upto - size < rest").withColumn("before", F.col("upto") - F.col("size"))
+
+
 def plan(narrow: DataFrame) -> Plan:
     """Decide a mix from (id, members array<string>, size)."""
     spark = narrow.sparkSession
@@ -155,9 +161,12 @@ def plan(narrow: DataFrame) -> Plan:
     keyed = narrow.where("size > 0").join(F.broadcast(cutting), "members").select("members", "size", "rest", order_key(F.col("id"), F.col("size"), F.col("large_from")).alias("key"))
     keyed = keyed.withColumn("bucket", F.shiftright("key", shift))
     histogram = keyed.groupBy("members", "rest", "bucket").agg(F.sum("size").alias("size"))
-    running = F.sum("size").over(Window.partitionBy("members").orderBy("bucket"))
-    crossed = histogram.withColumn("upto", running).where("upto >= rest and upto - size < rest")
-    cut = crossed.select("members", "bucket", (F.col("upto") - F.col("size")).alias("before"))
+    # two levels, so that no window holds more than 2^8 rows of a pattern
+    half = BUCKET_BITS // 2
+    histogram = histogram.withColumn("coarse", F.shiftright("bucket", half))
+    coarse = _crossing(histogram.groupBy("members", "rest", "coarse").agg(F.sum("size").alias("size")), "coarse", F.lit(0))
+    fine = histogram.join(F.broadcast(coarse.select("members", "coarse", F.col("before").alias("base"))), ["members", "coarse"])
+    cut = _crossing(fine, "bucket", F.col("base")).select("members", "bucket", "before")
     inside = keyed.join(F.broadcast(cut), ["members", "bucket"])
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("members", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     # a document belongs to the round if its middle lies before the cut
