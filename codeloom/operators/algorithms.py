@@ -1,7 +1,9 @@
 """Graph algorithms over edge tables (src, dst, weight), ids of any ordered type.
 
-Loops keep one table of state and write it to the shared folder each round, so plans stay
-short and lost executors cost one round. Path algorithms that need a whole graph in memory
+A graph of at most ``SMALL_EDGES`` edges is worked off in memory, where a round of Spark
+costs more than the whole search; beyond that, loops keep one table of state and write it
+to the shared folder each round, so plans stay short and lost executors cost one round.
+Both ways give the same rows. Path algorithms that need a whole graph in memory
 (betweenness, depth-first order) say so and check its size first.
 """
 
@@ -13,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators import local
 from codeloom.operators.components import components
 from codeloom.plans.storage import materialize
 
@@ -21,6 +24,26 @@ MAX_LOCAL_EDGES = 2_000_000
 #: Nodes for which a table of all pairs is made.
 MAX_PAIR_NODES = 5_000
 MAX_ROUNDS = 10_000
+#: Edges, and starts, up to which a graph is searched in memory.
+SMALL_EDGES, SMALL_STARTS = 100_000, 2_000
+
+
+def _small(edges: DataFrame, *more: str) -> list[tuple] | None:
+    """The edges (src, dst and more), or None if there are more than ``SMALL_EDGES``."""
+    rows = edges.select("src", "dst", *more).limit(SMALL_EDGES + 1).collect() if SMALL_EDGES else [None]
+    return None if len(rows) > SMALL_EDGES else [tuple(r) for r in rows]
+
+
+def _starts(starts: DataFrame) -> list | None:
+    rows = starts.select("id").distinct().limit(SMALL_STARTS + 1).collect()
+    return None if len(rows) > SMALL_STARTS else [r["id"] for r in rows]
+
+
+def _labelled(nodes: DataFrame, found: dict, name: str, kind: str, default) -> DataFrame:
+    """The nodes with what was found for them, or the default."""
+    rows = nodes.sparkSession.createDataFrame(list(found.items()), f"node {dict(nodes.dtypes)['id']}, found {kind}").withColumn("known", F.lit(True))
+    joined = nodes.select("id").distinct().join(rows, F.col("id") == F.col("node"), "left")
+    return joined.select("id", F.when(F.col("known"), F.col("found")).otherwise(default).alias(name))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -32,6 +55,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def bfs_levels(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_ROUNDS) -> DataFrame:
     """(id, hops) for each node that ``starts`` (id) reaches along edges."""
     links = edges.select("src", "dst").where("src <> dst").distinct()
+    if max_hops == MAX_ROUNDS and (small := _small(links)) is not None and (first := _starts(starts)) is not None:
+        return edges.sparkSession.createDataFrame(list(local.levels(small, first).items()), f"id {dict(starts.dtypes)['id']}, hops int")
     frontier = materialize(starts.select("id").distinct().withColumn("hops", F.lit(0)), "bfs")
     seen = frontier
     for hop in range(1, max_hops + 1):
@@ -88,6 +113,8 @@ def all_paths(edges: DataFrame, source, target, max_hops: int) -> DataFrame:
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that edges in any direction reach."""
+    if (small := _small(edges)) is not None:
+        return _labelled(nodes, local.components(small), "component", dict(nodes.dtypes)["id"], F.col("id"))
     roots = components(edges, "src", "dst")
     return nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
@@ -107,6 +134,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     colour that reach its owner are a component and leave the graph. Nodes without edges in
     one direction leave first.
     """
+    if (small := _small(edges)) is not None:
+        return _labelled(nodes, local.strong_components(small), "component", dict(nodes.dtypes)["id"], F.col("id"))
     left = materialize(nodes.select("id").distinct(), "scc")
     links = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     done = None
@@ -145,6 +174,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): longest distance from a node without incoming edges; nodes on or behind a cycle have none."""
+    if (small := _small(edges)) is not None:
+        return _labelled(nodes, local.topological_levels(small), "level", "int", F.lit(0))
     links = materialize(edges.select("src", "dst").distinct(), "topo")
     left = materialize(nodes.select("id").distinct(), "topo")
     out = None
@@ -167,6 +198,9 @@ def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, origin, dist) from each start over non-negative weights, by relaxation of whatever improved last."""
     if not edges.where("weight < 0").isEmpty():
         raise ValueError("weights must not be negative")
+    if (small := _small(edges, "weight")) is not None and (first := _starts(starts)) is not None:
+        kind = dict(starts.dtypes)["id"]
+        return edges.sparkSession.createDataFrame(local.distances(small, first), f"id {kind}, origin {kind}, dist double")
     links = materialize(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")), "dist")
     best = materialize(starts.select("id", F.col("id").alias("origin"), F.lit(0.0).alias("dist")).distinct(), "dist")
     moved = best

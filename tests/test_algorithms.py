@@ -45,8 +45,10 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("small", [100_000, 0])
 @pytest.mark.parametrize("name", CASES)
-def test_components_paths_and_order(spark, name):
+def test_components_paths_and_order(spark, name, small, monkeypatch):
+    monkeypatch.setattr(A, "SMALL_EDGES", small)
     n, edges = CASES[name]
     nodes, e = graph(spark, n, edges)
     reach, dist = closure(n, edges), floyd(n, edges)
