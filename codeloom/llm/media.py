@@ -1,18 +1,17 @@
 """Media columns: content-addressed payloads in tar shards, rows that point into them.
 
 A payload is the bytes of a row padded to a multiple of 64; its stored form is an 8-bit
-greyscale PNG, 64 samples wide, whose samples are the payload. A payload is stored once
-under its SHA-256 in a tar shard of the shared folder; a row carries digest, shard, offset
-and length. Metadata columns are filled by range reads of the PNG's first 33 bytes alone,
+greyscale PNG, 64 samples wide, whose samples are the payload. A payload lies under its
+SHA-256 in a tar shard of the shared folder; all rows of a payload carry the digest,
+shard, offset and length of one copy, and a task stores a payload at most once. Metadata columns are filled by range reads of the PNG's first 33 bytes alone,
 features by range reads of the whole stored form.
 
 Shards are written by tasks under names that no other attempt uses, and count only once
 their index row is in the index table, so a lost executor or a repeated attempt leaves
-unused files but no wrong row. Copies are dropped within a task before the shuffle that
-brings equal digests together.
+unused files but no wrong row.
 
 Defined cases: null text is the empty text, which pads to 64 zero bytes; texts of any
-length are stored whole; equal texts share one stored payload; rows repeat as they come; an
+length are stored whole; equal texts point at the same stored payload; rows repeat as they come; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -35,9 +34,13 @@ from .common import materialize, new_path
 UNIT, WIDTH = 64, 64
 #: Bytes after which a task starts another shard.
 SHARD_BYTES = 64 << 20
+#: Bytes of stored forms that one task reads.
+READ_BYTES = 16 << 20
+#: Digests that a task remembers to have stored.
+SEEN = 200_000
 #: The signature and the length of what precedes the samples of a PNG.
 SIGNATURE, HEADER = b"\x89PNG\r\n\x1a\n", 33
-LEVEL = 3
+LEVEL = 6
 
 
 def padded(data: bytes) -> bytes:
@@ -132,40 +135,37 @@ def payload_of(text: Column) -> Column:
 
 
 def store(docs: DataFrame, text_col: str, folder: str) -> DataFrame:
-    """Write each distinct payload once; the index: digest, shard, offset, length."""
+    """Write payloads and return the index: digest, shard, offset, length, one row per digest.
 
-    def pack(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            keys, media = [], []
-            for text in batch.column(0):
-                payload = padded((text.as_py() or "").encode("utf-8"))
-                key = hashlib.sha256(payload).digest()
-                if key not in seen:
-                    # a bounded memory: what it forgets is dropped after the shuffle
-                    seen.add(key) if len(seen) < 100_000 else seen.clear()
-                    keys.append(key.hex())
-                    media.append(to_png(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+    Payloads are never shuffled: each task stores what it hasn't stored yet, and of the
+    copies that several tasks stored the first by shard and offset is the one that counts.
+    """
 
     def write(batches):
-        out, last = ShardWriter(folder), None
-        rows: dict[str, list] = {k: [] for k in ("digest", "shard", "offset", "length")}
-        for batch in batches:
-            for key, media in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if key == last:
-                    continue
-                last, data = key, media.as_py()
-                shard, offset = out.add(f"{key}.png", data)
-                for k, v in zip(rows, (key, shard, offset, len(data))):
-                    rows[k].append(v)
-        out.close()
-        yield pa.RecordBatch.from_arrays([pa.array(rows["digest"], pa.string()), pa.array(rows["shard"], pa.string()), pa.array(rows["offset"], pa.int64()), pa.array(rows["length"], pa.int64())], names=list(rows))
-
-    packed = docs.select(F.col(text_col)).mapInArrow(pack, "digest string, media binary")
-    # equal digests are neighbours in their partition
-    dealt = packed.repartition("digest").sortWithinPartitions("digest")
-    return materialize(dealt.mapInArrow(write, "digest string, shard string, offset long, length long"), "media-index")
+        seen: set[bytes] = set()
+        out = ShardWriter(folder)
+        try:
+            for batch in batches:
+                rows: dict[str, list] = {k: [] for k in ("digest", "shard", "offset", "length")}
+                for text in batch.column(0):
+                    payload = padded((text.as_py() or "").encode("utf-8"))
+                    key = hashlib.sha256(payload).digest()
+                    if key in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    data = to_png(payload)
+                    shard, offset = out.add(f"{key.hex()}.png", data)
+                    for k, v in zip(rows, (key.hex(), shard, offset, len(data))):
+                        rows[k].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["digest"], pa.string()), pa.array(rows["shard"], pa.string()), pa.array(rows["offset"], pa.int64()), pa.array(rows["length"], pa.int64())], names=list(rows))
+        finally:
+            out.close()
+
+    written = materialize(docs.select(F.col(text_col)).mapInArrow(write, "digest string, shard string, offset long, length long"), "media-written")
+    first = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    return materialize(first.select("digest", "at.shard", "at.offset", "at.length"), "media-index")
 
 
 def _ranged(index: DataFrame, folder: str, take, ddl: str, whole: bool) -> DataFrame:
@@ -193,8 +193,9 @@ def _ranged(index: DataFrame, folder: str, take, ddl: str, whole: bool) -> DataF
             if file is not None:
                 file.close()
 
-    # neighbours in a shard are read one after another
-    return index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(run, f"digest string, {ddl}")
+    # neighbours in a shard are read one after another, about READ_BYTES of stored forms in a task
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return index.repartitionByRange(max(1, -(-total // READ_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(run, f"digest string, {ddl}")
 
 
 def metadata(index: DataFrame, folder: str) -> DataFrame:

@@ -153,7 +153,8 @@ def test_media(spark, docs, empty, tmp_path):
     import tarfile
 
     names = [m.name for p in (tmp_path / "m").glob("*.tar") for m in tarfile.open(p)]
-    assert len(names) == len(set(names)) == len({r["digest"] for r in got})
+    assert {n.removesuffix(".png") for n in names} == {r["digest"] for r in got}
+    assert len({(r["digest"], r["shard"], r["offset"]) for r in got}) == len({r["digest"] for r in got})
     assert media.media_columns(empty).count() == 0
 
 
