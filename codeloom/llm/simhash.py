@@ -77,7 +77,9 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("the mask of visitors is laid out for a radius of 2")
     bit = F.col("i")
     one = F.expr("shiftleft(1L, i)")
-    rows = fps.select("fp").distinct().select("fp", F.explode(F.expr("sequence(-1, 63)")).alias("i"))
+    # each row grows 65-fold: an explicit number of partitions isn't coalesced by the small size before that
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp").repartition(parts, "fp").distinct().select("fp", F.explode(F.expr("sequence(-1, 63)")).alias("i"))
     rows = rows.select(
         F.when(bit < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(one)).alias("variant"),
         F.when(bit < 0, F.lit(0).cast("long")).otherwise(one).alias("mask"),
