@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, langid, linededup, mixing, simhash
+from codeloom.llm import bpe, langid, linededup, mixing, neardup
 from codeloom.llm.common import documents, materialize
 from codeloom.llm.queries import tokenizer_path
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays, that of the smallest id."""
+    return neardup.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
