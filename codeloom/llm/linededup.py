@@ -8,7 +8,12 @@ document. The earliest holder always keeps its copy.
 
 A line that more than ``RARE`` places hold and that is shorter than a block doesn't pair
 documents by itself: a block that has only such lines has two of them in a row, and such
-a couple pairs documents at any frequency. So nothing that could be a block is missed.
+a couple pairs documents at any frequency.
+
+An alignment keeps the order and pairs are few, so passages that were moved or repeated,
+or whose lines have different earliest holders, can be left. They are found by whole runs:
+the shortest runs of ``min_words`` words from each line and up to each line cover every
+block, and each that an earlier document holds is deleted. So no block is missed.
 
 Defined cases: null text stays null; blank lines are never part of a block but don't break
 one; documents are ordered by id, null first, then by a hash of the text; rows of equal id
@@ -19,8 +24,9 @@ columns are kept by ``dedup`` whatever they are called.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -139,6 +145,57 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return out
 
 
+def shortest_runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Ranges (start, end) of the shortest runs of at least ``min_words`` words from each line and up to each line.
+
+    They depend on the lines inside alone and their union covers any longer run.
+    """
+    total = [0]
+    for w in words:
+        total.append(total[-1] + w)
+    out = set()
+    for i in range(len(words)):
+        if (j := bisect_left(total, total[i] + min_words)) < len(total):
+            out.add((i, j))
+        if total[i + 1] >= min_words:
+            out.add((bisect_right(total, total[i + 1] - min_words) - 1, i + 1))
+    return sorted(out)
+
+
+def run_table(lines: DataFrame, min_words: int) -> DataFrame:
+    """(id, h, run, at, size): hash and range of each shortest run of each document."""
+
+    def run(batches):
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                rows, runs, starts, sizes = [], [], [], []
+                for k, (x, w) in enumerate(zip(*(batch.column(c).slice(a, 1000) for c in (2, 3))), a):
+                    packed = np.array(x.as_py(), "<i8").tobytes()
+                    for i, j in shortest_runs(w.as_py(), min_words):
+                        rows.append(k)
+                        runs.append(_signed(digest(packed[8 * i : 8 * j])))
+                        starts.append(i)
+                        sizes.append(j - i)
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(runs, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["id", "h", "run", "at", "size"])
+
+    return lines.select("id", "h", "hashes", "words").mapInArrow(run, "id long, h long, run long, at int, size int")
+
+
+def held_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """(id, h, line): numbers of the lines of each document in runs that an earlier document holds."""
+    runs = run_table(lines, min_words)
+    # with the earliest holder alone there is nothing to delete
+    held = runs.groupBy("run").agg(F.min(F.struct("id", "h")).alias("first"), F.max(F.struct("id", "h")).alias("last")).where("first < last").select("run", "first")
+    found = runs.join(held.hint("merge"), "run").where(F.col("first") < F.struct("id", "h"))
+    covered = found.select("id", "h", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("j")).distinct()
+    covered = covered.groupBy("id", "h").agg(F.collect_list("j").alias("js"))
+    places = lines.select("id", "h", "places").dropDuplicates(["id", "h"])
+    both = covered.join(places.hint("merge"), ["id", "h"])
+    return both.select("id", "h", F.explode(F.transform("js", lambda j: F.get("places", j))).alias("line"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("h")]
 
@@ -171,7 +228,7 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(cut, pa.list_(pa.int32()))], names=["id", "h", "cut"])
 
     found = both.select("id", "h", "a", "b", "words", "places").mapInArrow(align, "id long, h long, cut array<int>")
-    each = found.select("id", "h", F.explode("cut").alias("line")).distinct()
+    each = found.select("id", "h", F.explode("cut").alias("line")).unionByName(held_runs(lines, min_words)).distinct()
     return each.groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("cut"))
 
 
