@@ -1,6 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each word enters as two vectors: one learned for the word and the sum of those learned
+A run of letters longer than ``WORD_CHARS`` is read as half-overlapping pieces, each a
+word. Each word enters as two vectors: one learned for the word and the sum of those learned
 for its character n-grams, so that unseen forms of a known stem still count. Windows of
 ``SPAN`` words, each overlapping the next by half, run through gated units in both
 directions; attention pools their states into a logit. A document's score is that of
@@ -36,14 +37,21 @@ PER_LABEL, ROW_CHARS = 2_000, 20_000
 SPAN, STRIDE = 32, 16
 WORD_SLOTS, GRAM_SLOTS, DIM, HIDDEN, ATTEND = 1 << 13, 1 << 15, 8, 8, 8
 GRAMS = (3, 4, 5)
-#: Characters of a word that n-grams cover.
+#: Characters of a word that its vectors cover; longer runs of letters, as in unspaced scripts, enter as several words.
 WORD_CHARS = 24
 EPOCHS, BATCH, RATE = 8, 128, 0.02
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def pieces(word: str) -> list[str]:
+    """A word, or half-overlapping pieces of ``WORD_CHARS`` characters that cover a longer one, the last full."""
+    n = len(word) - WORD_CHARS
+    return [word] if n <= 0 else [word[a : a + WORD_CHARS] for a in (*range(0, n, WORD_CHARS // 2), n)]
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    words = WORDS.findall(text.lower()) if text else []
+    return words if max(map(len, words), default=0) <= WORD_CHARS else [p for w in words for p in pieces(w)]
 
 
 def starts_of(n: int) -> list[int]:
@@ -54,8 +62,8 @@ def starts_of(n: int) -> list[int]:
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slot of each word and slots of its character n-grams (slot 0: none)."""
     n = len(words)
-    width = WORD_CHARS + 2
-    flat = "".join(("<" + w[:WORD_CHARS] + ">").ljust(width, "\0") for w in words)
+    width = max(map(len, words), default=0) + 2
+    flat = "".join(("<" + w + ">").ljust(width, "\0") for w in words)
     c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, width).astype(np.uint64)
     longest = int((c != 0).sum(axis=1).max()) if n else 0
     c = c[:, :longest]
