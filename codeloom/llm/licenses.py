@@ -13,6 +13,7 @@ repeat as they come; an empty table gives an empty result; extra columns are ign
 from __future__ import annotations
 
 import hashlib
+import pkgutil
 import re
 
 import pyarrow as pa
@@ -45,6 +46,53 @@ KNOWN = (
     ("ISC", "text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MIT", "text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
+#: Licences whose whole texts the folder ``known`` holds, with the lines of their titles.
+WHOLE = (
+    ("Apache-2.0", 3), ("Artistic-1.0-Perl", 1), ("BSD-2-Clause", 0), ("BSD-3-Clause", 0), ("CC0-1.0", 2), ("GFDL-1.2", 2), ("GFDL-1.3", 2), ("GPL-1.0", 2), ("GPL-2.0", 2),
+    ("GPL-3.0", 2), ("LGPL-2.0", 2), ("LGPL-2.1", 2), ("LGPL-3.0", 2), ("MPL-1.1", 2), ("MPL-2.0", 2), ("Unlicense", 0), ("Zlib", 0),
+)
+#: Usual titles of texts that have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License", "The BSD License"),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
+#: What follows the last line of this in a text tells how to apply the licence and may be left out.
+END = "END OF TERMS AND CONDITIONS"
+
+
+BULLET = re.compile(r"^\s*(?:[*-]|\d\.)\s+(?=Redistributions|Neither)")
+
+
+def _listed(lines: list[str]) -> list[list[str]]:
+    """The lines with the conditions of a BSD licence numbered and not numbered."""
+    n = iter(range(1, len(lines) + 1))
+    plain = [BULLET.sub("", x) for x in lines]
+    return [lines] if plain == lines else [plain, [f"{next(n)}. {y}" if x != y else x for x, y in zip(lines, plain)]]
+
+
+def _forms(name: str, text: str, titles: int = 0) -> list[str]:
+    """A text with and without its title, other usual titles, its appendix and numbers, and with either scheme of web addresses."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    bodies = _listed(lines[titles:])
+    ends = [i for i, x in enumerate(bodies[0]) if x.strip() == END]
+    bodies += [b for i in ends for b in (bodies[0][: i + 1], bodies[0][:i])]
+    heads = [[], *([lines[:titles]] if titles else []), *([t] for t in TITLES.get(name, ()))]
+    forms = ["\n".join([*h, *b]) for h in heads for b in bodies]
+    return list(dict.fromkeys(x for f in forms for x in (f, f.replace("http://", "https://"), f.replace("https://", "http://"))))
+
+
+def _whole_texts() -> tuple:
+    """(name, kind, text) of each form of each known whole text."""
+    read = [(name, pkgutil.get_data(__package__, f"known/{name}.txt").decode("utf-8"), titles) for name, titles in WHOLE]
+    short = [(name, text, 0) for name, kind, text in KNOWN if kind == "text"]
+    return tuple((name, "text", form) for name, text, titles in short + read for form in _forms(name, text, titles))
+
+
+KNOWN += _whole_texts()
 #: Rows of a table of known texts that may be broadcast.
 MAX_KNOWN = 100_000
 
