@@ -134,8 +134,8 @@ def betweenness(spark, d):
 
 @query("depth_first")
 def depth_first(spark, d):
-    nation = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey").cast("long") + 1000000000).alias("dst"))
-    return spark.createDataFrame([(i, v, p) for i, (v, p) in enumerate(algorithms.depth_first(nation, 0))], "position long, id long, parent long")
+    found = algorithms.depth_first(geography(spark, d)[1], 0)
+    return spark.createDataFrame([(i, v, p) for i, (v, p) in enumerate(found)], "position long, id long, parent long")
 
 
 @query("call_graph_roles", f"WITH e AS (SELECT DISTINCT src, dst FROM ({GEO_SQL})), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT CASE WHEN o IS NULL THEN 'leaf' WHEN i IS NULL THEN 'entry' ELSE 'inner' END AS role, count(*) AS n FROM v LEFT JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT dst AS id, count(*) AS i FROM e GROUP BY 1) USING (id) GROUP BY 1")
