@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.plans.storage import materialize
+from codeloom.plans.storage import materialize, scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,22 +20,23 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
     the shared folder. Self loops, repeated edges, nulls and empty tables are accepted:
     an edge with a null end or equal ends links nothing.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = materialize(e, "links")
-    state = _state(e)
-    for _ in range(rounds):
-        if not state[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        e = materialize(small, "links")
-        before, state = state, _state(e)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    with scratch(edges.sparkSession) as put:
+        e = put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
+        state = _state(e)
+        for _ in range(rounds):
+            if not state[0]:
+                break
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u")
+            small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+            e = put(small, "links")
+            before, state = state, _state(e)
+            if state == before:
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        return materialize(out, "components")
