@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.plans.storage import materialize, new_path, shared_dir
+from codeloom.plans.storage import materialize, new_path, scratch, shared_dir
 
-__all__ = ["documents", "held_out", "materialize", "new_path", "shared_dir"]
+__all__ = ["documents", "held_out", "materialize", "new_path", "scratch", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

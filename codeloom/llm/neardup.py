@@ -1,17 +1,25 @@
-"""Near-duplicate groups of whole texts by the Jaccard similarity of their word shingles.
-
-Shingles are those of ``simhash``. Two sets of a similarity of t or more share one of
-their first n - ceil(t n) + 1 shingles in any fixed order, so rows of such prefixes are
-grouped by shingle and what meets there is verified by the whole sets: every pair of the
-similarity is found or joined through others. Equal sets are grouped before that.
-
-The order puts shingles that are frequent in a bounded sample last, which saves
-candidates and changes no result. A group is not paired with itself: its members are
-verified against its first one, then groups that still hold several components against
-the next ones, in rounds of eight times as many. These rounds leave out pairs whose
-parities of shingles in ``BITS`` slots differ in more bits than similar sets may.
-
-Defined cases: those of ``simhash``; the empty set equals only itself.
+"""Near-duplicate groups of whole texts: SimHash balls, completed to a Jaccard similarity of word shingles.
+
+Shingles and fingerprints are those of ``simhash``, of five words. Colliding fingerprints
+(two bits at most) are verified by the whole shingle sets and linked if these are similar
+enough. Texts of similarity 0.8 differ in some ten of 64 bits, and balls of half that
+radius have millions of variants; so what the balls can't reach is completed by prefixes:
+
+* Two sets of similarity t share at least l of their first n - ceil(t n) + l shingles in any
+  fixed order. Rows with too few shared shingles among these have no partner and are left
+  out; so are those with fewer than t n shared shingles once all sets of the rest are counted.
+* Of the rest, sets ordered by rising frequency share one of their first n - ceil(t n) + 1
+  shingles, at positions that leave room for the overlap. Rows that meet there are
+  candidates: first each with the smallest row of its group; then, in groups that still hold
+  several components, with a share of the group that grows 32-fold, up to all of it.
+
+Nothing is lost on the way, so rows of one component are exactly those that a chain of
+similar pairs joins. Groups are counted with a map-side combine and joined, never gathered.
+
+Defined cases: null, empty and blank texts have the empty set, which equals only itself;
+texts of fewer words than a shingle are one shingle; texts of any length enter whole;
+repeated rows and ties of ids keep one row; a null id comes after all others; an empty
+table gives an empty result; extra columns are kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,26 +29,28 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.components import components
 
-from .common import materialize
-from .simhash import shingle_hashes
+from .common import materialize, scratch
+from .simhash import ball_links, fingerprint, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-#: Rows that the order is estimated on, and shingles that it puts last.
-SAMPLE_ROWS, FREQUENT = 20_000, 100_000
-#: Slots of parities, in longs of 64.
-BITS = 256
+#: Part of the least overlap that must be shared in the first prefix.
+SHARED = 0.125
+#: Part of a group that is paired in the second round, in rows, and its growth from round to round.
+HUBS = 32
+#: Rows of one Arrow slice in Python, which bounds a worker's memory.
+SLICE = 1_000
 #: For products that aren't exact in binary.
 EPS = 1e-9
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct shingles of a text."""
-    return np.unique(shingle_hashes(text, words).astype(np.uint64).view(np.int64))
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingles."""
+    return np.unique(hashes.astype(np.uint64).view(np.int64))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -48,95 +58,146 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
-def parities(s: np.ndarray) -> list[int]:
-    """Bits that tell whether a slot has an odd number of shingles: two sets differ in as many shingles at least as in bits."""
-    return np.packbits((np.bincount(s & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
+def overlap(n: int, least: float) -> int:
+    """Shingles that a set of n shares with any similar set, at least."""
+    return math.ceil(least * n - EPS)
+
 
+def shared_in_prefix(n: int, least: float) -> int:
+    return max(1, int(SHARED * overlap(n, least)))
 
-def frequent_shingles(plain: DataFrame, words: int) -> np.ndarray:
-    """Shingles that several rows of a bounded sample hold, sorted."""
-    rows = plain.count()
-    part = plain.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows))) < SAMPLE_ROWS)
+
+def prefixes(plain: DataFrame, words: int, least: float) -> DataFrame:
+    """row, size of the set, first shingles and how many of these a similar set must share, for each row of ``plain``."""
 
     def run(batches):
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words), pa.int64())], names=["s"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sizes, needs, firsts = [], [], []
+                for t in part.column(0):
+                    s = shingle_set(shingle_hashes(t.as_py(), words))
+                    n = len(s)
+                    sizes.append(n)
+                    # a similar set may be smaller, down to the least overlap
+                    needs.append(shared_in_prefix(overlap(n, least), least))
+                    firsts.append(s[: n - overlap(n, least) + shared_in_prefix(n, least)])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["row", "n", "need", "prefix"])
 
-    counts = part.select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    return np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()], np.int64))
+    return plain.select("t", "row").mapInArrow(run, "row long, n int, need int, prefix array<long>")
 
 
-def prefixes(plain: DataFrame, words: int, least: float) -> DataFrame:
-    """rank, row, key of the set, its size, prefix and parities for each row."""
-    # a list of a bounded size: the broadcast doesn't grow with the rows
-    last = plain.sparkSession.sparkContext.broadcast(frequent_shingles(plain, words))
+def whole_sets(plain: DataFrame, words: int) -> DataFrame:
+    """row, key of the set, its size, fingerprint and shingles."""
 
     def run(batches):
         for batch in batches:
-            keys, sizes, firsts, bits = [], [], [], []
-            for t in batch.column(0):
-                s = shingle_set(t.as_py(), words)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(len(s))
-                bits.append(parities(s))
-                late = np.isin(s, last.value, assume_unique=True)
-                firsts.append(np.concatenate([s[~late], s[late]])[: len(s) - math.ceil(least * len(s) - EPS) + 1])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["rank", "row", "key", "n", "prefix", "bits"],
-            )
-
-    picked = plain.select("t", "rank", "row")
-    return picked.mapInArrow(run, f"rank {picked.schema['rank'].dataType.simpleString()}, row long, key binary, n int, prefix array<long>, bits array<long>")
-
-
-def verified(pairs: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of rows that are similar enough."""
-    text = plain.select("row", "t")
-    both = pairs.join(text.select(F.col("row").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
-    both = both.join(text.select(F.col("row").alias("a"), F.col("t").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keys, fps, sets = [], [], []
+                for t in part.column(0):
+                    hashes = shingle_hashes(t.as_py(), words)
+                    fps.append(fingerprint(hashes))
+                    sets.append(s := shingle_set(hashes))
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                    names=["row", "key", "n", "fp", "shingles"],
+                )
+
+    return plain.select("t", "row").mapInArrow(run, "row long, key binary, n int, fp long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of rows of ``sets`` that are similar enough."""
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("shingles").alias(f"s{x}")).hint("merge")
+    both = pairs.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
 
     def run(batches):
-        at, mine = None, None
         for batch in batches:
-            keep = []
-            for k, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
-                if a != at:
-                    at, mine = a, shingle_set(ta.as_py(), words)
-                if similarity(mine, shingle_set(tb.as_py(), words)) >= least - EPS:
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keep = [similarity(x.values.to_numpy(), y.values.to_numpy()) >= least - EPS for x, y in zip(part.column(2), part.column(3))]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_links(sets: DataFrame, bits: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
-    """(node, root) of the rows of ``sets`` (row, n, prefix) that a chain of similar pairs joins; ``bits`` has their parities."""
-    alike = F.expr(f"least(n, m) >= {least!r}D * greatest(n, m) - {EPS!r}D")
-    apart = " + ".join(f"bit_count(bits[{i}] ^ abits[{i}])" for i in range(BITS // 64))
-    near = F.expr(f"{apart} <= {(1 - least) / (1 + least)!r}D * (n + m) + {EPS!r}D")
-    w = Window.partitionBy("s")
-    order = w.orderBy("row")
-    held = sets.select("row", "n", F.explode("prefix").alias("s"))
-    held = held.select("s", "row", "n", F.row_number().over(order).alias("at"), F.first("row").over(order).alias("a"), F.first("n").over(order).alias("m"), F.count(F.lit(1)).over(w).alias("size"))
-    held = materialize(held.where("size > 1"), "shared")
-    pairs = held.where("at > 1").where(alike).select("a", F.col("row").alias("b")).distinct()
-    links = materialize(verified(pairs, plain, words, least), "similar")
-    roots = components(links, "a", "b")
-    held, low, high = held.select("s", "row", "n", "at", "size"), 2, 8
+def ball_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of rows whose fingerprints collide: each with the first row of its fingerprint, and first rows of linked fingerprints."""
+    firsts = sets.groupBy("fp").agg(F.min("row").alias("a"))
+    same = sets.select("fp", F.col("row").alias("b")).join(firsts.hint("merge"), "fp").where("a <> b").select("a", "b")
+    links = ball_links(firsts)
+    near = links.join(firsts.select(F.col("fp").alias("a"), F.col("a").alias("x")).hint("merge"), "a").join(firsts.select(F.col("fp").alias("b"), F.col("a").alias("y")).hint("merge"), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def candidates(plain: DataFrame, put, words: int, least: float) -> DataFrame:
+    """Rows that may have a similar row: with enough shared shingles among their first ones."""
+    marked = put(prefixes(plain, words, least), "prefixes")
+    held = marked.select("row", "need", F.explode("prefix").alias("s"))
+    shared = put(held.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("s"), "shared")
+    # the empty sets, which share nothing, are told apart by their size alone
+    found = held.join(shared.hint("merge"), "s").groupBy("row", "need").agg(F.count(F.lit(1)).alias("have")).where("have >= need").select("row")
+    return put(found.unionByName(marked.where("n = 0").select("row")), "candidates")
+
+
+def ordered(sets: DataFrame, put, least: float) -> DataFrame:
+    """row, n and the shared shingles of each row of ``sets`` by rising frequency, where they suffice for a similar row."""
+    held = sets.select("row", "n", F.explode("shingles").alias("s"))
+    often = put(held.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    # an array has a document's shingles at most
+    rows = held.join(often.hint("merge"), "s").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    return put(rows.where(F.size("shared") >= F.expr(f"ceil({least!r}D * n - {EPS!r}D)")), "ordered")
+
+
+def similar_links(sets: DataFrame, rows: DataFrame, put, least: float) -> DataFrame:
+    """(node, root) of the rows of ``sets`` that a chain of similar pairs joins; ``rows`` are those of ``ordered``."""
+    at_least = F.expr(f"cast(ceil({least!r}D * n - {EPS!r}D) as int)")
+    # shingles that no other row holds come first, so they take the first positions of a prefix
+    cut = rows.select("row", "n", (F.col("n") - F.size("shared")).alias("alone"), F.slice("shared", 1, F.size("shared") - at_least + 1).alias("first"))
+    held = cut.select("row", "n", "alone", F.posexplode("first").alias("k", "x")).select(F.col("x.s").alias("s"), "row", "n", (F.col("alone") + F.col("k")).alias("at"))
+    held = put(held, "firsts")
+    groups = put(held.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("row", "n", "at")).alias("hub")).where("size > 1"), "groups")
+    room = F.expr(f"least(n, m) >= {least!r}D * greatest(n, m) - {EPS!r}D and least(n - at, m - q) >= ceil({least / (1 + least)!r}D * (n + m) - {EPS!r}D)")
+    hubbed = held.join(groups.hint("merge"), "s").select("row", "n", "at", F.col("hub.row").alias("a"), F.col("hub.n").alias("m"), F.col("hub.at").alias("q"))
+    pairs = hubbed.where("row <> a").where(room).select("a", F.col("row").alias("b"))
+    links = put(verified(pairs.unionByName(ball_pairs(sets)), sets, least), "similar")
+    most = groups.agg(F.max("size")).first()[0] or 0
+    held = put(held.join(groups.select("s", "size").hint("merge"), "s"), "grouped")
+    low, high = 0, HUBS
     while True:
-        rooted = held.where(f"size > {low}").join(roots.select(F.col("node").alias("row"), "root").hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        mixed = rooted.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s")
-        rooted = materialize(rooted.join(mixed.hint("merge"), "s", "left_semi").join(bits.hint("merge"), "row"), "mixed")
-        if rooted.isEmpty():
-            return roots
-        first = rooted.where(f"at between {low} and {high}").select("s", F.col("row").alias("a"), F.col("n").alias("m"), F.col("at").alias("p"), F.col("root").alias("ra"), F.col("bits").alias("abits"))
-        pairs = first.join(rooted.hint("merge"), "s").where("p < at and ra != root").where(alike).where(near).select("a", F.col("row").alias("b")).distinct()
-        found = verified(pairs, plain, words, least)
-        links = materialize(links.unionByName(found), "similar")
         roots = components(links, "a", "b")
-        held, low, high = rooted.select("s", "row", "n", "at", "size"), high + 1, high * 8
+        if low >= most:
+            return roots
+        rooted = held.join(roots.select(F.col("node").alias("row"), "root").hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        mixed = put(rooted.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s"), "mixed")
+        if mixed.isEmpty():
+            return roots
+        rooted = put(rooted.join(mixed.hint("merge"), "s", "left_semi"), "rooted")
+        place = F.pmod(F.xxhash64("row"), F.col("size"))
+        hubs = rooted.where((place >= low) & (place < high)).select("s", F.col("row").alias("a"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("root").alias("ra"))
+        pairs = hubs.hint("merge").join(rooted, "s").where("ra <> root").where(room)
+        found = put(verified(pairs.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")), sets, least), "similar")
+        links = links.unionByName(found)
+        held, low, high = rooted.drop("root"), high, high * HUBS
+
+
+def repeated(rows: DataFrame, rank: str, text: str, put, words: int, least: float) -> DataFrame:
+    """(row) of the rows that aren't the first of their near-duplicate group; ``rows`` has row, a rank and a text."""
+    plain = rows.select(F.col(text).alias("t"), "row")
+    ranks = rows.select("row", F.col(rank).alias("rank"))
+    some = candidates(plain, put, words, least)
+    sets = put(whole_sets(plain.join(some.hint("merge"), "row", "left_semi"), words), "sets")
+    members = put(sets.select("row", "key").join(ranks.hint("merge"), "row"), "members")
+    firsts = put(members.groupBy("key").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.r").alias("row")), "unequal")
+    unequal = put(sets.where("n > 0").join(firsts.select("row").hint("merge"), "row", "left_semi").select("row", "n", "fp", "shingles"), "unequal_sets")
+    kin = ordered(unequal, put, least)
+    unequal = put(unequal.join(kin.select("row").hint("merge"), "row", "left_semi"), "kin")
+    roots = similar_links(unequal, kin, put, least)
+    rooted = firsts.join(roots.hint("merge"), firsts["row"] == roots["node"], "left").select(F.coalesce("root", "row").alias("root"), "rank")
+    keep = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.r").alias("row"))
+    return members.select("row").join(keep.hint("merge"), "row", "left_anti")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -146,12 +207,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = materialize(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
-    key, text = F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)])
-    plain = rows.select(text.alias("t"), F.struct(key.isNull().alias("n"), key.alias("k"), F.col("row").alias("r")).alias("rank"), "row")
-    marked = materialize(prefixes(plain, words, least), "prefixes")
-    firsts = materialize(marked.groupBy("key").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.r").alias("row")), "firsts")
-    sets = marked.join(firsts.select("row").hint("merge"), "row", "left_semi").select("row", "n", "prefix")
-    roots = similar_links(sets, marked.select("row", "bits"), plain, words, least)
-    rooted = firsts.join(roots.hint("merge"), firsts["row"] == roots["node"], "left").select(F.coalesce("root", "row").alias("root"), "rank")
-    keep = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.r").alias("row"))
-    return rows.join(keep.hint("merge"), "row", "left_semi").select(names).toDF(*docs.columns)
+    key, text = F.col(names[docs.columns.index(id_col)]), names[docs.columns.index(text_col)]
+    ranked = rows.withColumn("rank", F.struct(key.isNull().alias("n"), key.alias("k"), F.col("row").alias("r")))
+    with scratch(docs.sparkSession) as put:
+        gone = materialize(repeated(ranked, "rank", text, put, words, least), "repeated")
+    return rows.join(gone.hint("merge"), "row", "left_anti").select(names).toDF(*docs.columns)

@@ -105,20 +105,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, fp, component_id (smallest id that links reach)."""
     marked = materialize(fingerprints(docs, [id_col], text_col, words), "marked")
     return marked.join(simhash_groups(marked, id_col), "fp").select(id_col, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs``, one of each near-duplicate group: that of the smallest id, then the first row.
-
-    All columns of ``docs`` return unchanged, whatever they are called.
-    """
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("row", F.monotonically_increasing_id())
-    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    plain = materialize(plain, "rows")
-    marked = materialize(fingerprints(plain, [key, "row"], text, words).withColumn("rank", F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("row").alias("r"))).select("fp", "rank"), "marked")
-    firsts = materialize(marked.groupBy("fp").agg(F.min("rank").alias("rank")), "fingerprints")
-    roots = components(ball_links(firsts), "a", "b")
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "rank")
-    keep = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.r").alias("row"))
-    return plain.join(keep, "row", "left_semi").select(names).toDF(*docs.columns)

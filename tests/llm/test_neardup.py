@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import neardup, simhash
 
@@ -49,13 +50,17 @@ def sample():
     return [(None if i == 5 else i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("frequent", [100_000, 0])
-def test_keep_one_by_all_pairs(spark, monkeypatch, frequent):
-    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+@pytest.mark.parametrize(("hubs", "shared"), [(32, 0.125), (2, 0.0), (3, 0.5)])
+def test_keep_one_by_all_pairs(spark, monkeypatch, hubs, shared):
+    """Any number of rounds and any length of the first prefix give the same rows."""
+    monkeypatch.setattr(neardup, "HUBS", hubs)
+    monkeypatch.setattr(neardup, "SHARED", shared)
     rows = sample()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in neardup.keep_one(df).collect())
     assert got == brute_kept(rows)
+    clashing = df.select(*df.columns, *[F.lit(1).alias(c) for c in ("row", "n", "s", "rank", "root", "c0")])
+    assert neardup.keep_one(clashing).columns == clashing.columns
     assert neardup.keep_one(df.limit(0)).count() == 0
 
 
