@@ -24,6 +24,8 @@ K, W = 8, 8
 #: Windows in a block.
 BLOCK = 2048
 TOP = 0x7FFFFFFF
+#: Bits of a hash that take part in a choice.
+UPPER = TOP << 32
 
 
 def let(value: Column, body) -> Column:
@@ -43,18 +45,20 @@ def _with_later(values: Column, step: int, merge) -> Column:
     return let(values, lambda g: F.zip_with(g, F.slice(g, F.lit(1 + step), F.size(g)), merge))
 
 
-def _turned(step: int):
-    return lambda x, y: F.shiftleft(x, step).bitwiseOR(F.shiftrightunsigned(x, 64 - step)).bitwiseXOR(y)
+def _shifted(step: int):
+    return lambda x, y: F.shiftleft(x, step).bitwiseXOR(y)
 
 
 def rolling_hashes(chars: Column, k: int) -> Column:
-    """Cyclic polynomial hash of ``k`` characters from every character on; null where fewer are left.
+    """Polynomial hash of ``k`` characters from every character on; null where fewer are left.
 
-    The hash of twice as many is that of the first half, turned by its length, xor that of the second.
+    Each character's 64 bits are shifted by one bit for each character that follows, and xored: the
+    upper half, from which choices are made, has bits of all ``k`` (at most 32) of them. The hash of
+    twice as many is that of the first half, shifted by its length, xor that of the second.
     """
     out, reach = F.transform(chars, lambda c: F.xxhash64(c)), 1
     while reach < k:
-        out = _with_later(out, reach, _turned(reach))
+        out = _with_later(out, reach, _shifted(reach))
         reach *= 2
     return out
 
@@ -74,9 +78,10 @@ def choices(kept: Column, k: int = K, w: int = W, first: Column | None = None) -
     if k & (k - 1):
         raise ValueError("k must be a power of two")
     first = F.lit(0) if first is None else first
-    n = F.char_length(kept)
 
     def chosen(chars: Column) -> Column:
+        # an empty text splits into one empty string, which is too short as well
+        n = F.size(chars)
         grams = F.greatest(n - F.lit(k - 1), F.lit(1))
         windows = F.greatest(grams - F.lit(w - 1), F.lit(1))
 
@@ -85,7 +90,8 @@ def choices(kept: Column, k: int = K, w: int = W, first: Column | None = None) -
             part = F.slice(chars, start + F.lit(1), count + F.lit(w + k - 2))
             hashed = F.slice(rolling_hashes(part, k), F.lit(1), F.least(count + F.lit(w - 1), grams - start))
             hashed = F.when(n < k, F.array(F.xxhash64(kept))).otherwise(hashed)
-            cells = F.transform(hashed, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32).bitwiseOR((F.lit(TOP) - start - i).cast("long")))
+            last = (F.lit(TOP) - start).cast("long")
+            cells = let(hashed, lambda h: F.zip_with(h, F.sequence(last, last - F.size(h) + 1, F.lit(-1).cast("long")), lambda x, at: x.bitwiseAND(F.lit(UPPER)).bitwiseOR(at)))
             return F.array_distinct(F.slice(_min_of_windows(cells, w), F.lit(1), count))
 
         starts = F.when(first < windows, F.sequence(first, F.greatest(windows - F.lit(1), first), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
