@@ -1,20 +1,25 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
 For each language one suffix automaton is built from labelled text. A text is cut
-greedily into phrases, each the longest match that the automaton knows from there; the
-language whose automaton needs the fewest phrases, normalised by the letters parsed,
-wins. Automata are flattened into one transition table whose missing transitions start
-a new phrase from the root, so that many pieces of text step through all languages
-together in numpy.
+greedily into phrases, each the longest match that the automaton knows from there (one
+character where it knows none); the language whose automaton needs the fewest phrases,
+normalised by the letters parsed, wins. The transitions of all automata lie interleaved
+in one array, so memory grows with the text learned and not with the alphabet, and many
+texts step through all languages together in numpy.
+
+Long texts step in parallel pieces that start without a phrase. Afterwards each piece
+is walked again from the state that the piece before it ended in, until both walks are in
+the same state; from there on they agree. So pieces leave no trace in the counts.
 
 Learning reads a bounded sample of labelled rows: ``TRAIN_CHARS`` characters a language,
 taken from the rows with the smallest hash of their text (so it doesn't depend on the
 order or number of files). Everything else covers all rows and whole texts.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; texts of
-any length are parsed whole, in pieces of ``PIECE`` characters; ties go to the language
-that sorts first; equal texts get equal results; null languages aren't learned; without
-any labelled text everything is ``und``; extra columns are ignored.
+any length are parsed whole; ties go to the language that sorts first; equal texts and
+repeated rows get equal results; null languages aren't learned; without any labelled text
+everything is ``und``; an empty table gives an empty result; extra columns are ignored, and
+where kept columns are called like the result's, these get an underscore.
 """
 
 from __future__ import annotations
@@ -29,18 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import fresh, held_out, slices
 
 #: Characters of labelled text per language that make its automaton.
 TRAIN_CHARS = 24_000
 #: Characters of one row that training takes at most, so that a few long rows don't make a language.
 ROW_CHARS = 1_500
-#: Rows of fewer characters aren't learned.
-LEARNABLE = 100
-#: A new phrase starts at each of these offsets; long texts are parsed in parallel pieces.
+#: Characters that step in parallel; results don't depend on it.
 PIECE = 512
-#: Code points that get a symbol of their own, at most; others match nothing.
-ALPHABET = 255
 #: Code points below this are folded through a table.
 TABLE = 0x10000
 UNKNOWN = "und"
@@ -112,74 +113,151 @@ class SuffixAutomaton:
         return cur
 
 
+class Transitions:
+    """Transitions of many states in one array: that of state s by symbol c lies at ``base[s] + c`` if the entry names s."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.base: list[int] = []
+        self.free = bytearray(b"\1") * (1 << 16)
+        self.owner: dict[int, tuple[int, int]] = {}
+        #: where the last state of more than one transition, and of one, was put
+        self.several = self.one = width
+
+    def _room(self, symbols: list[int], at: int) -> int:
+        """First slot from ``at`` on that is free, as are those of the further symbols."""
+        while True:
+            at = self.free.find(1, at)
+            if at < 0 or at + self.width >= len(self.free):
+                at = len(self.free) - self.width if at < 0 else at
+                self.free.extend(b"\1" * max(len(self.free), 2 * self.width))
+                continue
+            first = at - symbols[0]
+            if first >= 0 and all(self.free[first + c] for c in symbols):
+                return at
+            at += 1
+
+    def add(self, states: list[dict[int, int]]) -> int:
+        """Add an automaton; the number of its first state."""
+        offset = len(self.base)
+        self.base += [0] * len(states)
+        for s in sorted(range(len(states)), key=lambda s: -len(states[s])):
+            if not (symbols := sorted(states[s])):
+                continue
+            # states of several transitions follow each other; those of one fill what they leave free
+            if len(symbols) > 1:
+                at = self.several = self._room(symbols, self.several)
+            else:
+                at = self.one = self._room(symbols, self.one)
+            first = at - symbols[0]
+            self.base[offset + s] = first
+            for c in symbols:
+                self.free[first + c] = 0
+                self.owner[first + c] = (offset + s, offset + states[s][c])
+        return offset
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bases, and entries of owner and target state in one integer."""
+        slots = np.full(max([*self.owner, 0, *self.base]) + self.width + 1, -1, np.int64)
+        at = np.fromiter(self.owner, np.int64, len(self.owner))
+        pair = np.array(list(self.owner.values()), np.int64).reshape(-1, 2)
+        slots[at] = pair[:, 0] << 32 | pair[:, 1]
+        return np.array(self.base, np.int64), slots
+
+
 class Model:
-    """Languages, alphabet and the joint transition table (states of all languages by symbols)."""
+    """Languages, symbols and the transitions of all automata. State 0 has none: no phrase has begun."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         codes = {k: np.concatenate([np.append(folded(t), 32) for t in v] or [np.zeros(0, np.uint32)]) for k, v in texts.items()}
-        seen, n = np.unique(np.concatenate([*codes.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        chosen = sorted(seen[np.argsort(-n, kind="stable")][:ALPHABET].tolist())
-        self.symbols = np.array(chosen, np.uint32)
-        width = len(chosen) + 1
-        tables, self.roots, at = [], [], 0
-        for lang in self.langs:
-            auto = SuffixAutomaton((np.searchsorted(self.symbols, codes[lang][np.isin(codes[lang], self.symbols)]) + 1).tolist())
-            size = len(auto.next)
-            t = np.zeros((size, width), np.int32)
-            here = np.zeros((size, width), bool)
-            rows = np.repeat(np.arange(size), [len(d) for d in auto.next])
-            cols = np.array([c for d in auto.next for c in d], np.int64)
-            t[rows, cols] = np.array([s for d in auto.next for s in d.values()], np.int32) + at
-            here[rows, cols] = True
-            root = np.where(here[0], t[0], at)
-            # a missing transition begins a phrase: sign bit set, and on from the root
-            t = np.where(here, t, root | np.int32(-(2**31)))
-            tables.append(t)
-            self.roots.append(at)
-            at += size
-        self.width = width
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.symbols = np.unique(np.concatenate([*codes.values(), np.zeros(0, np.uint32)]))
+        self.width = len(self.symbols) + 1
+        self.kind = np.min_scalar_type(self.width)
+        joint = Transitions(self.width)
+        joint.add([{}])
+        #: state of each language after a phrase's first symbol; 0 where that is unknown
+        self.begin = np.zeros((len(self.langs), self.width), np.int64)
+        for k, lang in enumerate(self.langs):
+            auto = SuffixAutomaton((np.searchsorted(self.symbols, codes[lang]) + 1).tolist())
+            at = joint.add(auto.next)
+            for c, s in auto.next[0].items():
+                self.begin[k, c] = at + s
+        self.base, self.slots = joint.arrays()
         #: symbols of the lower code points
-        self.low = np.zeros(TABLE, np.uint8)
-        small = self.symbols[self.symbols < TABLE]
-        self.low[small] = np.arange(1, len(self.symbols) + 1, dtype=np.uint8)[self.symbols < TABLE]
+        self.low = np.zeros(TABLE, self.kind)
+        small = self.symbols < TABLE
+        self.low[self.symbols[small]] = np.flatnonzero(small).astype(self.kind) + 1
 
     def encode(self, codes: np.ndarray) -> np.ndarray:
-        if codes.size and codes.max() >= TABLE:
+        if codes.size and codes.max() >= TABLE and len(self.symbols):
             at = np.minimum(np.searchsorted(self.symbols, codes), len(self.symbols) - 1)
-            return np.where(self.symbols[at] == codes, at + 1, 0).astype(np.uint8)
-        return self.low[codes]
+            return np.where(self.symbols[at] == codes, at + 1, 0).astype(self.kind)
+        return self.low[np.minimum(codes, TABLE - 1)]
+
+    def step(self, state: np.ndarray, lang: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where a phrase begins."""
+        got = self.slots.take(self.base.take(state) + symbol)
+        new = got >> 32 != state
+        return np.where(new, self.begin.take(lang * self.width + symbol), got & 0xFFFFFFFF), new
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text needs in each language."""
         langs = len(self.langs)
-        pieces, owner = [], []
-        for i, t in enumerate(texts):
-            for a in range(0, len(t), PIECE):
-                pieces.append(t[a : a + PIECE])
-                owner.append(i)
         out = np.zeros((len(texts), langs), np.int64)
-        if not pieces:
+        owner, starts = [], []
+        for i, t in enumerate(texts):
+            owner += [i] * -(-len(t) // PIECE)
+            starts += range(0, len(t), PIECE)
+        if not owner or not langs:
             return out
-        sizes = np.array([len(p) for p in pieces])
+        owner, starts = np.array(owner), np.array(starts)
+        sizes = np.minimum(PIECE, np.array([len(t) for t in texts])[owner] - starts)
         order = np.argsort(-sizes, kind="stable")
-        sizes, owner = sizes[order], np.array(owner)[order]
-        grid = np.zeros((int(sizes[0]), len(pieces)), np.uint8)
+        grid = np.zeros((int(sizes.max()), len(owner)), self.kind)
         for j, k in enumerate(order.tolist()):
-            grid[: sizes[j], j] = pieces[k]
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(pieces), axis=1)
-        count = np.ones((langs, len(pieces)), np.int32)
-        alive = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")
-        width = np.int32(self.width)
-        low = np.int32(2**31 - 1)
-        for step, live in enumerate(alive.tolist()):
-            s = state[:, :live]
-            np.multiply(s, width, out=s)
-            np.add(s, grid[step, :live], out=s)
-            got = self.table.take(s)
-            count[:, :live] += got < 0
-            np.bitwise_and(got, low, out=s)
+            grid[: sizes[k], j] = texts[owner[k]][starts[k] : starts[k] + sizes[k]]
+        column = np.empty(len(order), np.int64)
+        column[order] = np.arange(len(order))
+        each = np.arange(langs)[:, None]
+        state, count = np.zeros((langs, len(owner)), np.int64), np.zeros((langs, len(owner)), np.int64)
+        alive = np.searchsorted(-sizes[order], -np.arange(1, len(grid) + 1), side="right")
+        for row, live in zip(grid, alive.tolist()):
+            state[:, :live], new = self.step(state[:, :live], each, row[:live].astype(np.int64))
+            count[:, :live] += new
+        state, count = state[:, column], count[:, column]
+        end, alone = state.copy(), count.copy()
+        later = np.flatnonzero(starts > 0)
+        lang, piece = np.repeat(np.arange(langs), len(later)), np.tile(later, langs)
+        while len(piece):
+            # from the end of the piece before, until the walk without it is caught up with
+            real, anew = end[lang, piece - 1], np.zeros(len(piece), np.int64)
+            n_real, n_anew = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
+            before = end[lang, piece]
+            open_, at = np.arange(len(piece)), 0
+            while True:
+                met = real[open_] == anew[open_]
+                done = open_[met]
+                count[lang[done], piece[done]] = alone[lang[done], piece[done]] - n_anew[done] + n_real[done]
+                end[lang[done], piece[done]] = state[lang[done], piece[done]]
+                open_ = open_[~met]
+                over = open_[sizes[piece[open_]] <= at]
+                count[lang[over], piece[over]], end[lang[over], piece[over]] = n_real[over], real[over]
+                open_ = open_[sizes[piece[open_]] > at]
+                if not len(open_):
+                    break
+                symbol = grid[at, column[piece[open_]]].astype(np.int64)
+                real[open_], new = self.step(real[open_], lang[open_], symbol)
+                n_real[open_] += new
+                anew[open_], new = self.step(anew[open_], lang[open_], symbol)
+                n_anew[open_] += new
+                at += 1
+            # a piece that ends in another state than was taken for the next one's start
+            moved = end[lang, piece] != before
+            lang, piece = lang[moved], piece[moved] + 1
+            inside = piece < len(owner)
+            lang, piece = lang[inside], piece[inside]
+            lang, piece = lang[starts[piece] > 0], piece[starts[piece] > 0]
         for k in range(langs):
             out[:, k] = np.bincount(owner, weights=count[k], minlength=len(texts)).astype(np.int64)
         return out
@@ -207,18 +285,17 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = TRAIN_CHARS) -> Model:
     """Fit on a bounded sample of labelled rows that may be learned.
 
-    Rows with the smallest text hashes are taken: at most ``2 * chars / ROW_CHARS`` of each
-    language reach the driver, of each at most its first ``ROW_CHARS`` characters.
+    Of each language the rows with the smallest text hashes in so many slots are taken that
+    these hold some twice ``chars`` characters; of each row at most its first ``ROW_CHARS``.
     """
-    need = 2 * chars // ROW_CHARS + 8
-    hashed = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) >= LEARNABLE)).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("t")
-    )
-    slots = hashed.groupBy("lang", F.pmod("h", F.lit(need)).alias("slot")).agg(F.min("h").alias("h")).collect()
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in slots}
-    if not slots:
+    own = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    hashed = own.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
+    means = {r["lang"]: r["m"] for r in hashed.groupBy("lang").agg(F.avg(F.least(F.length("t"), F.lit(ROW_CHARS))).alias("m")).collect()}
+    texts: dict[str, list[str]] = {lang: [] for lang in means}
+    if not means:
         return Model(texts)
-    wanted = {(r["lang"], r["h"]) for r in slots}
+    slots = F.create_map(*[F.lit(x) for lang, m in means.items() for x in (lang, int(2 * chars / m) + 8)])[F.col("lang")]
+    wanted = {(r["lang"], r["h"]) for r in hashed.groupBy("lang", F.pmod("h", slots).alias("slot")).agg(F.min("h").alias("h")).collect()}
     picked = hashed.where(F.col("h").isin(sorted({h for _, h in wanted}))).select("lang", "h", F.substring("t", 1, ROW_CHARS).alias("t"))
     for r in sorted(picked.distinct().collect(), key=lambda r: (r["lang"], r["h"], r["t"])):
         have = texts[r["lang"]]
@@ -231,9 +308,9 @@ _loaded: dict[str, Model] = {}
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of each row with lang_pred and score."""
+    """The columns ``keep`` of each row, then its predicted language and score."""
     spark = docs.sparkSession
-    # one automaton a language, of a fixed number of characters: the broadcast doesn't grow with the rows
+    # one automaton a language, of a fixed number of characters (some 2 MB): the broadcast doesn't grow with the rows
     packed, key = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1)), uuid.uuid4().hex
 
     def run(batches):
@@ -242,12 +319,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
             _loaded[key] = pickle.loads(zlib.decompress(packed.value))
         m = _loaded[key]
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
+            for part in slices(batch, 0, 2000):
                 got = m.predict(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
     names = [f"k{i}" for i in range(len(keep))]
     picked = docs.select(F.col(text_col), *[F.col(c).alias(n) for c, n in zip(keep, names)])
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
-    return picked.mapInArrow(run, f"{ddl + ', ' if ddl else ''}lang_pred string, score double").toDF(*keep, "lang_pred", "score")
+    return picked.mapInArrow(run, f"{ddl + ', ' if ddl else ''}lang_pred string, score double").toDF(*keep, *fresh(keep, "lang_pred", "score"))

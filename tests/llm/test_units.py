@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import regex
 import xxhash
 
@@ -79,18 +80,45 @@ def greedy_phrases(text, known):
     return n
 
 
-def test_phrases_by_greedy_search():
+def known_substrings(m, train):
+    joined = {k: "".join("".join(map(chr, np.append(langid.folded(t), 32))) for t in train[k]) for k in m.langs}
+    return {k: {t[a:b] for a in range(len(t)) for b in range(a + 1, len(t) + 1)} for k, t in joined.items()}
+
+
+def test_phrases_by_greedy_search(monkeypatch):
     train = {"x": ["the cat sat on the mat"], "y": ["le chat est sur la table"]}
     m = langid.Model(train)
-    known = {}
-    for k in m.langs:
-        t = "".join(map(chr, np.append(langid.folded(train[k][0]), 32)))
-        known[k] = {t[a:b] for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
-    for s in ("the chat sat", "zzz", "la mat est on", "a"):
-        f = "".join(map(chr, langid.folded(s)))
-        got = m.phrases([m.encode(langid.folded(s))])[0]
-        # characters outside of the alphabet cost one phrase that begins at the root, as any other
-        assert got.tolist() == [greedy_phrases(f, known[k]) for k in m.langs] or all(abs(a - greedy_phrases(f, known[k])) <= 1 for a, k in zip(got.tolist(), m.langs))
+    known = known_substrings(m, train)
+    r = random.Random(8)
+    texts = ["the chat sat", "zzz", "la mat est on", "a", "", "the cat sat on the mat" * 200, "zq" * 1500, "la cat " * 700]
+    texts += ["".join(r.choice("the catsonmlurb z\u4e2d") for _ in range(r.choice([5, 511, 512, 513, 3000]))) for _ in range(30)]
+    folded = [langid.folded(s) for s in texts]
+    want = [[greedy_phrases("".join(map(chr, f)), known[k]) for k in m.langs] for f in folded]
+    for piece in (512, 7, 1):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert m.phrases([m.encode(f) for f in folded]).tolist() == want
+
+
+def test_phrases_of_a_large_alphabet():
+    """Thousands of symbols, beyond the first plane too, and many languages keep exact counts."""
+    r = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)] + [chr(c) for c in range(0x20000, 0x20000 + 300)]
+    train = {f"l{k}": ["".join(r.choices(letters[700 * (k % 3) :], k=120)) + " abc" * k] for k in range(6)}
+    m = langid.Model(train)
+    known = known_substrings(m, train)
+    texts = ["".join(r.choice([train[k][0][a : a + 9], r.choice(letters)]) for a in r.sample(range(100), 40)) for k in m.langs]
+    folded = [langid.folded(t) for t in texts]
+    assert m.phrases([m.encode(f) for f in folded]).tolist() == [[greedy_phrases("".join(map(chr, f)), known[k]) for k in m.langs] for f in folded]
+    assert m.slots.nbytes + m.base.nbytes < 2_000_000
+
+
+def test_languages_of_short_rows_are_learned(spark):
+    rows = [(i, f"un mot {i % 7}", "fr") for i in range(80)] + [(100 + i, "the quick brown fox jumps over it " * 9 + str(i), "en") for i in range(80)] + [(300, "!!", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs)
+    assert m.langs == ["en", "fr"] and [x[0] for x in m.predict(["un mot", "quick brown", "!!", None])] == ["fr", "en", "und", "und"]
+    clashing = docs.withColumn("lang_pred", F.lit("a")).withColumn("score", F.lit(1))
+    assert langid.identify(clashing, m, clashing.columns).columns == ["doc_id", "text", "lang", "lang_pred", "score", "lang_pred_", "score_"]
 
 
 def test_language_edges():
