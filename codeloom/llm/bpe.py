@@ -7,8 +7,9 @@ another rank by now), else merged, which unlinks the right symbol and queues the
 new pairs. Decoding concatenates vocabulary strings and maps them back to bytes.
 
 Defined cases: null text is the empty text; empty text has no ids; texts of any length
-are encoded whole; equal texts give equal ids; rows repeat as they come; columns other
-than the named id and text columns are ignored, whatever they are called.
+are encoded whole; equal texts give equal ids; rows repeat as they come, also under tied
+ids; an empty table gives an empty result; columns other than the named id and text columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: The split pattern of the public byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What the pattern's library counts as white space.
@@ -34,8 +37,9 @@ SPACE = r"\p{White_Space}"
 COMMON = re.compile("[\t-\r -~\u00c0-\u024f\u2010-\u2027\u20ac]*")
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 COMMON_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
-#: Distinct pre-tokens in each of the two generations whose ids one worker remembers; results don't depend on it.
-WORDS_KEPT = 300_000
+#: Distinct pre-tokens (of at most 64 characters) in each of the two generations whose ids one worker remembers, some
+#: 50 MB in all; results don't depend on it.
+WORDS_KEPT = 120_000
 
 
 def byte_alphabet() -> list[str]:
@@ -153,7 +157,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 2000)):
             cols = {f.name: [] for f in fields}
             for text in batch.column(1):
                 ids = c.encode(text.as_py())

@@ -18,8 +18,9 @@ block, and each that an earlier document holds is deleted. So no block is missed
 Defined cases: null text stays null; blank lines are never part of a block but don't break
 one; documents are ordered by id, null first, then by a hash of the text; rows of equal id
 and text are one document and keep or lose the same lines; lines are compared without outer
-white space; repeats inside one document stay; an empty table gives an empty result; extra
-columns are kept by ``dedup`` whatever they are called.
+white space; repeats inside one document stay; texts and lines of any length enter whole; an
+empty table gives an empty result; extra columns are kept by ``dedup``, and where they are
+called like the columns that it adds, these get an underscore.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize, scratch, slices
 
 MIN_WORDS = 20
 RARE = 64
@@ -48,7 +49,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, 2000)):
             hashes, words, places = [], [], []
             for text in batch.column(2):
                 h, w, p = [], [], []
@@ -183,11 +184,12 @@ def run_table(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.select("id", "h", "hashes", "words").mapInArrow(run, "id long, h long, run long, at int, size int")
 
 
-def held_runs(lines: DataFrame, min_words: int) -> DataFrame:
+def held_runs(lines: DataFrame, min_words: int, put) -> DataFrame:
     """(id, h, line): numbers of the lines of each document in runs that an earlier document holds."""
     runs = run_table(lines, min_words)
     # with the earliest holder alone there is nothing to delete
     held = runs.groupBy("run").agg(F.min(F.struct("id", "h")).alias("first"), F.max(F.struct("id", "h")).alias("last")).where("first < last").select("run", "first")
+    held = put(held, "held_runs")
     found = runs.join(held.hint("merge"), "run").where(F.col("first") < F.struct("id", "h"))
     covered = found.select("id", "h", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("j")).distinct()
     covered = covered.groupBy("id", "h").agg(F.collect_list("j").alias("js"))
@@ -203,14 +205,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
 # Joins are sort-merge joins at every size: tables of lines grow with the rows and are never broadcast.
 
 
-def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, h, cut array<int>): numbers of the lines that each document loses."""
-    lines = materialize(line_table(docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("t")).where("t is not null")), "lines")
+def cuts(docs: DataFrame, put, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, h, cut array<int>): numbers of the lines that each document loses; ``put`` writes intermediate tables."""
+    lines = put(line_table(docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("t")).where("t is not null")), "lines")
     single = F.transform("hashes", lambda x, i: F.struct(x.alias("seed"), F.get("words", i).alias("w")))
     couple = F.transform(F.slice("hashes", 2, F.greatest(F.size("hashes") - 1, F.lit(0))), lambda y, i: F.struct(F.xxhash64(F.get("hashes", i), y).alias("seed"), F.lit(min_words).alias("w")))
     seeds = lines.select("id", "h", F.explode(F.concat(single, couple)).alias("s")).select("id", "h", "s.seed", "s.w")
     held = seeds.groupBy("seed").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
     held = held.where(f"(first < last or h0 < h1) and (n <= {RARE} or w >= {min_words})").select("seed", "first", (F.col("first") == F.col("last")).alias("tied"))
+    # written first, so that both sides of the join are plain shuffles and a hot line's can be split
+    held = put(held, "held")
     pairs = seeds.select("seed", "id", "h").join(held.hint("merge"), "seed").where("first < id or tied").select("first", "id", "h").distinct()
     a = lines.select(F.col("id").alias("first"), F.col("h").alias("first_h"), F.col("hashes").alias("a"))
     b = lines.select("id", "h", F.col("hashes").alias("b"), "words", "places")
@@ -228,20 +232,21 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(cut, pa.list_(pa.int32()))], names=["id", "h", "cut"])
 
     found = both.select("id", "h", "a", "b", "words", "places").mapInArrow(align, "id long, h long, cut array<int>")
-    each = found.select("id", "h", F.explode("cut").alias("line")).unionByName(held_runs(lines, min_words)).distinct()
+    each = found.select("id", "h", F.explode("cut").alias("line")).unionByName(held_runs(lines, min_words, put)).distinct()
     return each.groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("cut"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with shortened texts, then n_lines, cut (line numbers) and blank (nothing but white space is left)."""
-    gone = materialize(cuts(docs, id_col, text_col, min_words), "cuts")
+    with scratch(docs.sparkSession) as put:
+        gone = materialize(cuts(docs, put, id_col, text_col, min_words), "cuts")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain, at = docs.toDF(*names), dict(zip(docs.columns, names))
     rows = plain.select("*", *_keyed(plain, at[id_col], at[text_col])).join(gone.hint("merge"), ["id", "h"], "left").select(*names, "cut")
     where = names.index(at[text_col])
 
     def shorten(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, where, 2000)):
             texts, counts, blank = [], [], []
             for text, cut in zip(batch.column(where), batch.column(len(names))):
                 text, cut = text.as_py(), cut.as_py()
@@ -258,4 +263,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
     out = rows.mapInArrow(shorten, f"{ddl}, cut array<int>, n_lines long, blank boolean")
-    return out.select(*names, "n_lines", F.coalesce("cut", F.array().cast("array<int>")).alias("cut"), "blank").toDF(*docs.columns, "n_lines", "cut", "blank")
+    return out.select(*names, "n_lines", F.coalesce("cut", F.array().cast("array<int>")).alias("cut"), "blank").toDF(*docs.columns, *fresh(docs.columns, "n_lines", "cut", "blank"))

@@ -9,8 +9,8 @@ Separators belong to the section that they end.
 
 Defined cases: null and empty texts have one empty section with 0 tokens; blank sections
 count like others; documents of any length are encoded whole; rows repeat as they come; a
-null field is an empty section; an empty table gives an empty result; extra columns are
-ignored.
+null field is an empty section; rows of tied ids each have their own sections; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,38 +42,46 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndar
     return whole, weighted
 
 
-def section_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n") -> DataFrame:
-    """One row per section of each text: its number, character span, n_tokens and weighted_tokens."""
-    mark = separator.encode("utf-8")
+COUNTS = "section long, start long, stop long, n_tokens long, weighted_tokens double"
+
+
+def _counted(parts: DataFrame, path: str, id_col: str, split, gap: str) -> DataFrame:
+    """``COUNTS`` of each row of ``parts`` (id, value); ``split`` gives a value's sections, which ``gap`` joins to the document."""
+    mark = len(gap.encode("utf-8"))
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                parts = text.split(separator)
-                byte_ends = np.cumsum([len(p.encode("utf-8")) + len(mark) for p in parts])
-                byte_ends[-1] -= len(mark)
-                char_ends = np.cumsum([len(p) + len(separator) for p in parts])
-                char_ends[-1] -= len(separator)
-                ends = np.cumsum(c.piece_len[c.encode(text)])
-                whole, weighted = attribute(ends, byte_ends)
-                n = len(parts)
-                for col, values in zip(rows, ([i] * n, range(n), [0, *char_ends[:-1].tolist()], char_ends.tolist(), whole.tolist(), weighted.tolist())):
-                    col.extend(values)
-            ids = batch.column(0).take(pa.array(rows[0], pa.int64()))
-            cols = [pa.array(v, pa.int64()) for v in rows[1:5]] + [pa.array(rows[5], pa.float64())]
-            for a in range(0, max(1, len(ids)), 50_000):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 50_000), *(x.slice(a, 50_000) for x in cols)], names=[id_col, "section", "start", "stop", "n_tokens", "weighted_tokens"])
-
-    picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, section long, start long, stop long, n_tokens long, weighted_tokens double")
+            for at in range(0, batch.num_rows, 1000):
+                ids = batch.column(0).slice(at, 1000)
+                rows: list[list] = [[] for _ in range(6)]
+                for i, value in enumerate(batch.column(1).slice(at, 1000)):
+                    sections = split(value.as_py())
+                    byte_ends = np.cumsum([len(p.encode("utf-8")) + mark for p in sections])
+                    byte_ends[-1] -= mark
+                    char_ends = np.cumsum([len(p) + len(gap) for p in sections])
+                    char_ends[-1] -= len(gap)
+                    ends = np.cumsum(c.piece_len[c.encode(gap.join(sections))])
+                    whole, weighted = attribute(ends, byte_ends)
+                    n = len(sections)
+                    for col, values in zip(rows, ([i] * n, range(n), [0, *char_ends[:-1].tolist()], char_ends.tolist(), whole.tolist(), weighted.tolist())):
+                        col.extend(values)
+                ids = ids.take(pa.array(rows[0], pa.int64()))
+                cols = [pa.array(v, pa.int64()) for v in rows[1:5]] + [pa.array(rows[5], pa.float64())]
+                for a in range(0, max(1, len(ids)), 50_000):
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, 50_000), *(x.slice(a, 50_000) for x in cols)], names=["id", "section", "start", "stop", "n_tokens", "weighted_tokens"])
+
+    out = parts.mapInArrow(run, f"id {parts.schema[0].dataType.simpleString()}, {COUNTS}")
+    return out.withColumnRenamed("id", id_col)
+
+
+def section_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n") -> DataFrame:
+    """One row per section of each text: its number, character span, n_tokens and weighted_tokens."""
+    return _counted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("value")), path, id_col, lambda t: (t or "").split(separator), separator)
 
 
 def field_counts(rows: DataFrame, path: str, id_col: str, fields: list[str], separator: str = "\n") -> DataFrame:
-    """Tokens of each of several text columns, encoded as one document in the order given."""
-    mark = "\x1e" + separator
-    joined = F.concat_ws(mark, *[F.coalesce(F.col(f), F.lit("")) for f in fields])
-    counts = section_counts(rows.select(F.col(id_col), joined.alias("joined")), path, id_col, "joined", mark)
+    """Tokens of each of several text columns, encoded as one document in the order given; fields may hold the separator."""
+    values = F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    counts = _counted(rows.select(F.col(id_col).alias("id"), values.alias("value")), path, id_col, list, separator)
     return counts.withColumn("field", F.element_at(F.array(*map(F.lit, fields)), (F.col("section") + 1).cast("int")))

@@ -14,7 +14,7 @@ ids hash lowest in as many slots) and ``ROW_CHARS`` characters of each. Scores u
 text alone.
 
 Defined cases: null, empty and wordless texts score 0; texts shorter than a window are
-one window; equal texts get equal scores; several labels of one id count as toxic if any
+one window; equal texts and repeated rows get equal scores, ties of windows too; several labels of one id count as toxic if any
 is; null labels aren't learned; without both labels every score is 0; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import fresh, held_out, slices
 
 PER_LABEL, ROW_CHARS = 2_000, 20_000
 SPAN, STRIDE = 32, 16
@@ -329,11 +329,10 @@ def score(docs: DataFrame, net: Network | None, keep: list[str], text_col: str =
             _loaded[key] = pickle.loads(zlib.decompress(packed.value))
         m = _loaded[key]
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for part in slices(batch, 0, 1000):
                 got = m.score(part.column(0).to_pylist()) if m else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.float64())], names=[*names, "score"])
 
     picked = docs.select(F.col(text_col), *[F.col(c).alias(n) for c, n in zip(keep, names)])
     ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in picked.schema.fields[1:])
-    return picked.mapInArrow(run, f"{ddl}score double").toDF(*keep, "score")
+    return picked.mapInArrow(run, f"{ddl}score double").toDF(*keep, *fresh(keep, "score"))
