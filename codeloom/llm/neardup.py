@@ -11,7 +11,8 @@ radius have millions of variants; so what the balls can't reach is completed by
 * Of the rest, sets ordered by rising frequency share one of their first n - ceil(t n) + 1
   shingles, at positions that leave room for the overlap. Rows that meet there are
   candidates: first each with the smallest row of its group; then, in groups that still hold
-  several components, with a share of the group that grows 32-fold, up to all of it.
+  several components, with a share of the group that grows 32-fold, up to all of it. Pairs
+  whose parities of shingles in ``SLOTS`` slots differ more than similar sets may are left out.
 
 Nothing is lost on the way, so rows of one component are exactly those that a chain of
 similar pairs joins. Groups are counted with a map-side combine and joined, never gathered.
@@ -42,6 +43,8 @@ WORDS, SIMILARITY = 5, 0.8
 SHARED = 0.125
 #: Part of a group that is paired in the second round, in rows, and its growth from round to round.
 HUBS = 32
+#: Slots of parities, in longs of 64.
+SLOTS = 512
 #: Rows of one Arrow slice in Python, which bounds a worker's memory.
 SLICE = 1_000
 #: For products that aren't exact in binary.
@@ -58,6 +61,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """Bits that tell whether a slot has an odd number of shingles: two sets differ in as many shingles at least as in bits."""
+    return np.packbits((np.bincount(s & (SLOTS - 1), minlength=SLOTS) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def overlap(n: int, least: float) -> int:
     """Shingles that a set of n shares with any similar set, at least."""
     return math.ceil(least * n - EPS)
@@ -88,24 +96,26 @@ def prefixes(plain: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def whole_sets(plain: DataFrame, words: int) -> DataFrame:
-    """row, key of the set, its size, fingerprint and shingles."""
+    """row, key of the set, its size, fingerprint, parities and shingles."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                keys, fps, sets = [], [], []
+                keys, fps, bits, sets = [], [], [], []
                 for t in part.column(0):
                     hashes = shingle_hashes(t.as_py(), words)
                     fps.append(fingerprint(hashes))
                     sets.append(s := shingle_set(hashes))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    bits.append(parities(s))
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["row", "key", "n", "fp", "shingles"],
+                    [part.column(1), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.int64()), pa.array(bits, longs), pa.array(sets, longs)],
+                    names=["row", "key", "n", "fp", "bits", "shingles"],
                 )
 
-    return plain.select("t", "row").mapInArrow(run, "row long, key binary, n int, fp long, shingles array<long>")
+    return plain.select("t", "row").mapInArrow(run, "row long, key binary, n int, fp long, bits array<long>, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -164,7 +174,10 @@ def similar_links(sets: DataFrame, rows: DataFrame, put, least: float) -> DataFr
     pairs = hubbed.where("row <> a").where(room).select("a", F.col("row").alias("b"))
     links = put(verified(pairs.unionByName(ball_pairs(sets)), sets, least), "similar")
     most = groups.agg(F.max("size")).first()[0] or 0
-    held = put(held.join(groups.select("s", "size").hint("merge"), "s"), "grouped")
+    held = held.join(groups.select("s", "size").hint("merge"), "s").join(sets.select("row", "bits").hint("merge"), "row")
+    held = put(held, "grouped")
+    apart = " + ".join(f"bit_count(bits[{i}] ^ abits[{i}])" for i in range(SLOTS // 64))
+    near = F.expr(f"{apart} <= {(1 - least) / (1 + least)!r}D * (n + m) + {EPS!r}D")
     low, high = 0, HUBS
     while True:
         roots = components(links, "a", "b")
@@ -176,8 +189,8 @@ def similar_links(sets: DataFrame, rows: DataFrame, put, least: float) -> DataFr
             return roots
         rooted = put(rooted.join(mixed.hint("merge"), "s", "left_semi"), "rooted")
         place = F.pmod(F.xxhash64("row"), F.col("size"))
-        hubs = rooted.where((place >= low) & (place < high)).select("s", F.col("row").alias("a"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("root").alias("ra"))
-        pairs = hubs.hint("merge").join(rooted, "s").where("ra <> root").where(room)
+        hubs = rooted.where((place >= low) & (place < high)).select("s", F.col("row").alias("a"), F.col("n").alias("m"), F.col("at").alias("q"), F.col("root").alias("ra"), F.col("bits").alias("abits"))
+        pairs = hubs.hint("merge").join(rooted, "s").where("ra <> root").where(room).where(near)
         found = put(verified(pairs.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")), sets, least), "similar")
         links = links.unionByName(found)
         held, low, high = rooted.drop("root"), high, high * HUBS
@@ -191,7 +204,7 @@ def repeated(rows: DataFrame, rank: str, text: str, put, words: int, least: floa
     sets = put(whole_sets(plain.join(some.hint("merge"), "row", "left_semi"), words), "sets")
     members = put(sets.select("row", "key").join(ranks.hint("merge"), "row"), "members")
     firsts = put(members.groupBy("key").agg(F.min("rank").alias("rank")).select("rank", F.col("rank.r").alias("row")), "unequal")
-    unequal = put(sets.where("n > 0").join(firsts.select("row").hint("merge"), "row", "left_semi").select("row", "n", "fp", "shingles"), "unequal_sets")
+    unequal = put(sets.where("n > 0").join(firsts.select("row").hint("merge"), "row", "left_semi").select("row", "n", "fp", "bits", "shingles"), "unequal_sets")
     kin = ordered(unequal, put, least)
     unequal = put(unequal.join(kin.select("row").hint("merge"), "row", "left_semi"), "kin")
     roots = similar_links(unequal, kin, put, least)
