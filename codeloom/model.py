@@ -12,18 +12,35 @@ SYMBOL_KINDS = (
 
 #: Kinds of dependencies, each with a phrase.
 DEPENDENCY_TYPES = {
-    "Imports": "imports", "ModuleDependency": "depends on module", "Calls": "calls", "References": "references", "Inherits": "inherits from",
-    "Implements": "implements", "Uses": "uses", "TypeOf": "is of type", "Declares": "declares", "Export": "exports", "NamespaceUsage": "uses namespace",
-    "DataFlow": "flows data to", "Assigns": "assigns to", "ControlFlow": "controls flow of", "ConditionalExecution": "conditionally executes",
-    "LoopIteration": "iterates over", "ExceptionHandling": "handles exceptions of", "ReturnFlow": "returns to", "BreakContinue": "breaks or continues",
-    "ParameterPassing": "passes parameter to", "MacroExpansion": "expands macro", "Annotates": "annotates",
-}
+    "Calls": "calls",
+    "References": "references",
+    "Imports": "imports",
+    "Export": "exports",
+    "Inherits": "inherits from",
+    "Implements": "implements",
+    "Uses": "uses",
+    "TypeOf": "has type",
+    "Assigns": "assigns to",
+    "Declares": "declares",
+    "ModuleDependency": "depends on module",
+    "NamespaceUsage": "uses namespace",
+    "MacroInvocation": "invokes macro",
+    "TypeParameter": "type parameter",
+    "ControlFlow": "control flow",
+    "DataFlow": "data flow",
+    "ConditionalExecution": "conditional execution",
+    "LoopIteration": "loop iteration",
+    "ExceptionHandling": "exception handling",
+    "SwitchCase": "switch case",
+    "ReturnFlow": "return flow",
+    "BreakContinue": "break/continue",
+}
 
 #: Kinds of relationships, and the dependency types that have one of their own.
 RELATIONSHIP_KINDS = ("Calls", "Inherits", "Imports", "References", "DefinedIn", "Implements", "DependsOn", "Overrides", "Composition")
 KIND_OF_DEPENDENCY = {
-    "Calls": "Calls", "Inherits": "Inherits", "Imports": "Imports", "References": "References", "Implements": "Implements",
-    "Uses": "DependsOn", "TypeOf": "DependsOn", "ModuleDependency": "DependsOn",
+    "Calls": "Calls", "References": "References", "Imports": "Imports", "Inherits": "Inherits", "Implements": "Implements",
+    "Uses": "DependsOn", "Assigns": "References", "DataFlow": "References", "ModuleDependency": "DependsOn",
 }
 #: The same with imports of whole modules as imports and declarations as definitions.
 KIND_OF_DEPENDENCY_WIDE = KIND_OF_DEPENDENCY | {"ModuleDependency": "Imports", "Declares": "DefinedIn"}
@@ -31,7 +48,7 @@ KIND_OF_DEPENDENCY_WIDE = KIND_OF_DEPENDENCY | {"ModuleDependency": "Imports", "
 #: Languages by file extension.
 EXTENSIONS = {
     "rust": ("rs",), "javascript": ("js", "mjs", "cjs"), "typescript": ("ts", "mts", "cts"), "python": ("py", "pyw"), "java": ("java",),
-    "go": ("go",), "cpp": ("cpp", "cc", "cxx", "hpp", "hxx"), "csharp": ("cs",), "php": ("php",), "ruby": ("rb",), "swift": ("swift",),
+    "go": ("go",), "cpp": ("cpp", "cc", "cxx", "c++", "hpp", "hxx", "h++"), "csharp": ("cs",), "php": ("php",), "ruby": ("rb",), "swift": ("swift",),
     "scala": ("scala", "sc"), "dart": ("dart",), "lua": ("lua",), "zig": ("zig",), "objc": ("m", "mm"), "bash": ("sh", "bash"), "css": ("css",),
     "html": ("html", "htm"), "json": ("json",), "yaml": ("yaml", "yml"), "xml": ("xml",), "markdown": ("md", "markdown"),
 }

@@ -3,7 +3,8 @@
 A graph of at most ``SMALL_EDGES`` edges is worked off in memory, where a round of Spark
 costs more than the whole search; beyond that, loops keep one table of state and write it
 to the shared folder each round, so plans stay short and lost executors cost one round.
-Both ways give the same rows. Path algorithms that need a whole graph in memory
+Both ways give the same rows: one for each distinct id, and edges with a null end lead nowhere. A search
+that ``MAX_ROUNDS`` rounds don't end raises an error. Path algorithms that need a whole graph in memory
 (betweenness, depth-first order) say so and check its size first.
 """
 
@@ -30,7 +31,7 @@ SMALL_EDGES, SMALL_STARTS = 100_000, 2_000
 
 def _small(edges: DataFrame, *more: str) -> list[tuple] | None:
     """The edges (src, dst and more), or None if there are more than ``SMALL_EDGES``."""
-    rows = edges.select("src", "dst", *more).limit(SMALL_EDGES + 1).collect() if SMALL_EDGES else [None]
+    rows = edges.select("src", "dst", *more).where("src is not null and dst is not null").limit(SMALL_EDGES + 1).collect() if SMALL_EDGES else [None]
     return None if len(rows) > SMALL_EDGES else [tuple(r) for r in rows]
 
 
@@ -46,25 +47,32 @@ def _labelled(nodes: DataFrame, found: dict, name: str, kind: str, default) -> D
     return joined.select("id", F.when(F.col("known"), F.col("found")).otherwise(default).alias(name))
 
 
+def _unfinished(what: str) -> RuntimeError:
+    return RuntimeError(f"{what} did not end in {MAX_ROUNDS} rounds")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
 
-def bfs_levels(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_ROUNDS) -> DataFrame:
+def bfs_levels(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(id, hops) for each node that ``starts`` (id) reaches along edges."""
     links = edges.select("src", "dst").where("src <> dst").distinct()
-    if max_hops == MAX_ROUNDS and (small := _small(links)) is not None and (first := _starts(starts)) is not None:
+    if max_hops is None and (small := _small(links)) is not None and (first := _starts(starts)) is not None:
         return edges.sparkSession.createDataFrame(list(local.levels(small, first).items()), f"id {dict(starts.dtypes)['id']}, hops int")
     frontier = materialize(starts.select("id").distinct().withColumn("hops", F.lit(0)), "bfs")
     seen = frontier
-    for hop in range(1, max_hops + 1):
+    for hop in range(1, (MAX_ROUNDS if max_hops is None else max_hops) + 1):
         step = frontier.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         frontier = materialize(step.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "bfs")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        if max_hops is None:
+            raise _unfinished("the search")
     return seen
 
 
@@ -74,18 +82,21 @@ def reachable(edges: DataFrame, starts: DataFrame, incoming: bool = False) -> Da
     return bfs_levels(e, starts).select("id")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_ROUNDS) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(id, hops, path) by fewest hops; of equally short paths the smallest."""
     links = edges.select("src", "dst").where("src <> dst").distinct()
     frontier = materialize(starts.select("id").distinct().select("id", F.lit(0).alias("hops"), F.array("id").alias("path")), "paths")
     seen = frontier
-    for hop in range(1, max_hops + 1):
+    for hop in range(1, (MAX_ROUNDS if max_hops is None else max_hops) + 1):
         step = frontier.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")).select("id", F.lit(hop).alias("hops"), "path")
         frontier = materialize(step, "paths")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        if max_hops is None:
+            raise _unfinished("the search")
     return seen
 
 
@@ -116,7 +127,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if (small := _small(edges)) is not None:
         return _labelled(nodes, local.components(small), "component", dict(nodes.dtypes)["id"], F.col("id"))
     roots = components(edges, "src", "dst")
-    return nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
+    return nodes.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def is_bipartite(edges: DataFrame) -> bool:
@@ -176,7 +187,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): longest distance from a node without incoming edges; nodes on or behind a cycle have none."""
     if (small := _small(edges)) is not None:
         return _labelled(nodes, local.topological_levels(small), "level", "int", F.lit(0))
-    links = materialize(edges.select("src", "dst").distinct(), "topo")
+    links = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "topo")
     left = materialize(nodes.select("id").distinct(), "topo")
     out = None
     for level in range(MAX_ROUNDS):
@@ -186,6 +197,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         out = ready.withColumn("level", F.lit(level)) if out is None else out.unionByName(ready.withColumn("level", F.lit(level)))
         left = materialize(left.join(ready, "id", "left_anti"), "topo")
         links = materialize(links.join(ready.withColumnRenamed("id", "src"), "src", "left_anti"), "topo")
+    else:
+        raise _unfinished("levels")
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if out is None else out.unionByName(rest)
 

@@ -158,27 +158,28 @@ def architectural_issues(spark, d):
     return search.issues(part_symbols(spark, d).join(fan, "id", "left"), 45, 30)
 
 
-MERGE_SQL = """WITH a AS (SELECT p_partkey % 700 AS k, min(p_partkey) AS i FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_partkey % 700 AS k, min(p_partkey) AS i FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
-x AS (SELECT a.k, p_name, p_type, p_brand, p_size > 40 AS ext FROM a JOIN part ON p_partkey = a.i), y AS (SELECT b.k, p_name, p_type, p_brand, p_size > 40 AS ext FROM b JOIN part ON p_partkey = b.i)
-SELECT coalesce(x.k, y.k) AS k, CASE WHEN y.k IS NULL THEN 'left_only' WHEN x.k IS NULL THEN 'right_only' WHEN x.p_type = y.p_type AND x.p_name = y.p_name THEN 'keep_existing'
-WHEN x.ext THEN 'use_other' WHEN y.ext THEN 'keep_existing' WHEN x.p_type <> y.p_type THEN 'error' ELSE 'merge' END AS resolution FROM x FULL JOIN y ON x.k = y.k"""
+MERGE_SQL = """WITH x AS (SELECT c_custkey AS k, c_nationkey AS name, c_acctbal > 0 AS kind, c_acctbal > 8000 AS ext FROM customer), y AS (SELECT s_suppkey AS k, s_nationkey AS name, s_acctbal > 0 AS kind, s_acctbal > 5000 AS ext FROM supplier)
+SELECT coalesce(x.k, y.k) AS k, CASE WHEN y.k IS NULL THEN 'left_only' WHEN x.k IS NULL THEN 'right_only' WHEN x.kind = y.kind AND x.name = y.name THEN 'keep_existing'
+WHEN x.ext THEN 'use_other' WHEN y.ext THEN 'keep_existing' WHEN x.kind <> y.kind THEN 'error' ELSE 'merge' END AS resolution FROM x FULL JOIN y ON x.k = y.k"""
 
 
 @query("merge_conflicts", MERGE_SQL)
 def merge_conflicts(spark, d):
-    p = table(spark, d, "part")
+    """All customers merged with all suppliers by their numbers."""
 
-    def side(m):
-        first = p.where(F.col("p_partkey") % m == 0).groupBy((F.col("p_partkey") % 700).alias("k")).agg(F.min_by(F.struct("p_name", "p_type", "p_brand", "p_size"), "p_partkey").alias("s"))
-        return first.select(F.col("k").cast("string").alias("qualified_name"), F.col("s.p_name").alias("name"), F.col("s.p_type").alias("kind"), F.lit("sql").alias("language"), F.col("s.p_brand").alias("file_path"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("documentation"), F.array().cast("array<string>").alias("modifiers"), (F.col("s.p_size") > 40).alias("is_external"))
+    def side(name, prefix, key, ext):
+        rows, null = table(spark, d, name), F.lit(None).cast("string")
+        text_of = lambda c: F.col(f"{prefix}_{c}").cast("string")
+        return rows.select(text_of(key).alias("qualified_name"), text_of("nationkey").alias("name"), (F.col(f"{prefix}_acctbal") > 0).cast("string").alias("kind"), F.lit("sql").alias("language"), F.lit(name).alias("file_path"), null.alias("signature"), null.alias("documentation"), F.array().cast("array<string>").alias("modifiers"), (F.col(f"{prefix}_acctbal") > ext).alias("is_external"))
 
-    return graph.merge(side(2), side(3)).select(F.col("qualified_name").cast("long").alias("k"), "resolution")
+    return graph.merge(side("customer", "c", "custkey", 8000), side("supplier", "s", "suppkey", 5000)).select(F.col("qualified_name").cast("long").alias("k"), "resolution")
 
 
-@query("merge_edges", "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_suppkey, l_partkey FROM lineitem l WHERE l_linenumber = 2 AND NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_linenumber = 1 AND k.l_suppkey = l.l_suppkey AND k.l_partkey = l.l_partkey)")
+@query("merge_edges", "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'N' UNION ALL SELECT l_suppkey, l_partkey FROM lineitem l WHERE l_returnflag <> 'N' AND NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_returnflag = 'N' AND k.l_suppkey = l.l_suppkey AND k.l_partkey = l.l_partkey)")
 def merge_edges(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
-    return graph.merge_edges(rows.where("l_linenumber = 1").drop("l_linenumber"), rows.where("l_linenumber = 2").drop("l_linenumber"))
+    """All order lines that were not returned merged with all others."""
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), "l_returnflag")
+    return graph.merge_edges(rows.where("l_returnflag = 'N'").drop("l_returnflag"), rows.where("l_returnflag <> 'N'").drop("l_returnflag"))
 
 
 @query("validate_orphans", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

@@ -26,9 +26,10 @@ def lang_stats(spark, d):
     return files.language_stats(rows)
 
 
-@query("loc_by_lang", "SELECT lang, count(*) AS files, CAST(sum(t) AS BIGINT) AS total, CAST(sum(b) AS BIGINT) AS blank, CAST(sum(c) AS BIGINT) AS comment, CAST(sum(t - b - c) AS BIGINT) AS code FROM (SELECT lang, len(l) AS t, len(list_filter(l, lambda x: trim(x) = '')) AS b, len(list_filter(l, lambda x: starts_with(trim(x), '//'))) AS c FROM (SELECT lang, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE NOT contains(text, '/*'))) GROUP BY 1")
+@query("loc_by_lang", "SELECT lang, count(*) AS files, CAST(sum(t) AS BIGINT) AS total, CAST(sum(b) AS BIGINT) AS blank, CAST(sum(c) AS BIGINT) AS comment, CAST(sum(t - b - c) AS BIGINT) AS code FROM (SELECT lang, len(l) AS t, len(list_filter(l, lambda x: trim(x) = '')) AS b, len(list_filter(l, lambda x: starts_with(trim(x), '#'))) AS c FROM (SELECT lang, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents)) GROUP BY 1")
 def loc_by_lang(spark, d):
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("/*"))).select("lang", files.count_lines(F.col("text"), "go").alias("loc"))
+    """Lines of all documents by the rules of a language without block comments."""
+    rows = table(spark, d, "documents").select("lang", files.count_lines(F.col("text"), "bash").alias("loc"))
     return rows.groupBy("lang").agg(n().alias("files"), *[F.sum(f"loc.{c}").alias(c) for c in ("total", "blank", "comment", "code")])
 
 
@@ -36,12 +37,12 @@ def _count(token: str) -> str:
     return f"(length(text) - length(replace(text, '{token}', ''))) // {len(token)}"
 
 
-@query("decision_points", f"SELECT doc_id, CAST({' + '.join(_count(t) for t in text.DECISION_TOKENS)} AS BIGINT) AS points FROM documents")
+@query("decision_points", f"SELECT doc_id, CAST({' + '.join(_count(t) for t in ('if', 'else if', 'while', 'for', 'match', 'case', 'catch', '&&', '||', '?', 'switch', 'try', 'except', 'elif'))} AS BIGINT) AS points FROM documents")
 def decision_points(spark, d):
     return table(spark, d, "documents").select("doc_id", text.decision_points(F.col("text")).alias("points"))
 
 
-@query("estimate_complexity", "SELECT item_id, CAST(1 + " + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in text.BRANCH_PATTERNS) + " AS BIGINT) AS complexity FROM benchmark")
+@query("estimate_complexity", "SELECT item_id, CAST(1 + len(regexp_extract_all(text, '\\b(?:if|else|while|for|match|case|catch|try)\\b')) + len(regexp_extract_all(text, '&&')) + len(regexp_extract_all(text, '\\|\\|')) + len(regexp_extract_all(text, '\\?')) AS BIGINT) AS complexity FROM benchmark")
 def estimate_complexity(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.estimate_complexity(F.col("text")).alias("complexity"))
 
@@ -63,9 +64,9 @@ def nesting_buckets(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.nesting_by_complexity(F.col("p_size")).alias("nesting"), text.cognitive_complexity(F.col("p_size")).alias("cognitive"))
 
 
-@query("size_complexity", "SELECT doc_id, CAST(round(least(10.0, 1 + 0.1 * len(regexp_extract_all(text, '[({\\[]')) + 0.2 * len(regexp_extract_all(text, '\\b(?:if|else|for|while|switch|match|case|try|catch|loop)\\b')) + 0.01 * (" + LINES + ")), 6) AS DOUBLE) AS score FROM documents WHERE lang = 'en'")
+@query("size_complexity", f"SELECT doc_id, CAST(round(least(10.0, 1 + 0.1 * len(regexp_extract_all(text, '[({{\\[]')) + 0.2 * ({' + '.join(_count(t) for t in ('if', 'else', 'for', 'while', 'match', 'switch', 'try', 'catch'))}) + 0.01 * ({LINES})), 6) AS DOUBLE) AS score FROM documents")
 def size_complexity(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.round(text.size_complexity(F.col("text")), 6).alias("score"))
+    return table(spark, d, "documents").select("doc_id", F.round(text.size_complexity(F.col("text")), 6).alias("score"))
 
 
 @query("doc_quality", "SELECT item_id, CASE WHEN length(t) >= 100 THEN 40 WHEN length(t) >= 50 THEN 30 WHEN length(t) >= 20 THEN 20 WHEN length(t) > 0 THEN 10 ELSE 0 END + 30 AS score FROM (SELECT item_id, trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS t FROM benchmark)")
@@ -88,7 +89,7 @@ def detect_language(spark, d):
 
 @query("ignored_paths", "SELECT page_id, page_id % 3 = 0 OR page_id % 5 = 0 AS ignored FROM pages")
 def ignored_paths(spark, d):
-    path = F.when(F.col("page_id") % 3 == 0, "a/node_modules/b/c.js").when(F.col("page_id") % 5 == 0, "lib/x.min.js").otherwise("src/x.js")
+    path = F.when(F.col("page_id") % 3 == 0, "a/node_modules/b/c.js").when(F.col("page_id") % 5 == 0, "lib/x.pyc").otherwise("src/x.js")
     return table(spark, d, "pages").select("page_id", files.ignored(path, files.merged_ignores(["*.tmp"])).alias("ignored"))
 
 

@@ -102,3 +102,19 @@ def test_graph_stats_of_nothing(spark):
     row = A.graph_stats(spark.range(0).select("id"), spark.createDataFrame([], "src long, dst long")).first()
     assert row["nodes"] == 0 and row["density"] == 0.0
     assert A.graph_stats(spark.range(2).select("id"), spark.createDataFrame([(0, 1)], "src long, dst long")).select(F.col("mean_degree")).first()[0] == 1.0
+
+
+def test_bounds_and_awkward_rows_of_both_forms(spark, monkeypatch):
+    """A search beyond the bound of rounds raises; repeated ids and edges with a null end are the same in memory and distributed."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(7)] + [(3,), (9,)], "id long")
+    holed = chain.unionByName(spark.createDataFrame([(None, 2), (5, None)], "src long, dst long"))
+    got = {}
+    for small in (100_000, 0):
+        monkeypatch.setattr(A, "SMALL_EDGES", small)
+        got[small] = [sorted(tuple(r) for r in f.collect()) for f in (A.weak_components(nodes, holed), A.topological_levels(nodes, holed), A.bfs_levels(holed, spark.range(1)))]
+    assert got[0] == got[100_000] and got[0][0] == [(i, 0) for i in range(7)] + [(9, 9)]
+    monkeypatch.setattr(A, "MAX_ROUNDS", 3)
+    for f in (lambda: A.bfs_levels(chain, spark.range(1)), lambda: A.shortest_paths(chain, spark.range(1)), lambda: A.is_acyclic(nodes, chain)):
+        with pytest.raises(RuntimeError, match="did not end"):
+            f()
