@@ -251,3 +251,18 @@ def test_windows_cover_all():
 
 def test_digest():
     assert licenses.digest("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_field_counts_by_offsets(spark):
+    """Tokens start where the library says; fields hold the separator, are null or empty, ids are tied."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "a b\x1e\nc", "d\ne"), (1, None, ""), (2, "one", " two"), (3, "x" * 500 + "\n", "y")]
+    got = tokencount.field_counts(spark.createDataFrame(rows, "k long, t string, u string").coalesce(1), tokenizer_path(), "k", ["t", "u"]).collect()
+    want = []
+    for k, *fields in rows:
+        first, second = (f or "" for f in fields)
+        starts = [a for a, _ in tok.encode(f"{first}\n{second}", add_special_tokens=False).offsets]
+        want += [(k, "t", sum(a <= len(first) for a in starts)), (k, "u", sum(a > len(first) for a in starts))]
+    assert [(r["k"], r["field"], r["n_tokens"]) for r in got] == want
